@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graftwork.functions.predicates import clean_tokens, is_void
 from graftwork.llm.cooccur import lifted_pairs
+from graftwork.llm.mojibake import repair
 from graftwork.llm.neardup import duplicate_pairs, near_duplicates
 from graftwork.llm.topn import top_n
 from graftwork.operators.packed import packed_values
@@ -79,5 +80,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("goods_a"), F.col("item_b").alias("goods_b"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages read in a wrong encoding, and the MD5 of the restored text ('' if it is lost)."""
+    found = repair(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.coalesce(F.md5(F.encode("restored", "utf-8")), F.lit("")).alias("restored_md5"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
