@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftwork.functions.predicates import clean_tokens, is_void
+from graftwork.llm.bpe import encode_corpus, read_ranks
 from graftwork.llm.cooccur import lifted_pairs
 from graftwork.llm.mojibake import repair
 from graftwork.llm.neardup import duplicate_pairs, near_duplicates
@@ -14,6 +17,10 @@ from graftwork.operators.packed import packed_values
 from graftwork.session import table
 
 
+#: Where the vocabulary files of public tokenizers lie.
+TOKENIZERS = os.environ.get("GRAFTWORK_TOKENIZERS", "/opt/tokenizers")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records of one table whose texts are at least 0.6 alike in runs of 3 characters."""
     candidates = table(spark, sf_dir, "candidates").select(
@@ -80,11 +87,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("goods_a"), F.col("item_b").alias("goods_b"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document by byte_bpe_50k."""
+    ranks = read_ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", ranks).withColumnRenamed("id", "doc_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with passages read in a wrong encoding, and the MD5 of the restored text ('' if it is lost)."""
     found = repair(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", F.coalesce(F.md5(F.encode("restored", "utf-8")), F.lit("")).alias("restored_md5"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
