@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftwork.functions.predicates import clean_tokens, is_void
-from graftwork.llm.bpe import encode_corpus, read_ranks
+from graftwork.llm.bpe import PATTERN, encode_corpus, read_ranks
 from graftwork.llm.cooccur import lifted_pairs
 from graftwork.llm.mojibake import repair
 from graftwork.llm.neardup import duplicate_pairs, near_duplicates
+from graftwork.llm.packing import pack, token_counts
 from graftwork.llm.topn import top_n
 from graftwork.operators.packed import packed_values
 from graftwork.session import table
@@ -20,6 +22,9 @@ from graftwork.session import table
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = os.environ.get("GRAFTWORK_TOKENIZERS", "/opt/tokenizers")
 
+#: The word pattern as the Python libraries write it.
+WORDS = PATTERN.removeprefix("(?U)")
+
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records of one table whose texts are at least 0.6 alike in runs of 3 characters."""
@@ -93,11 +98,30 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", ranks).withColumnRenamed("id", "doc_id")
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, sized in tokens, in containers of each capacity of pack_limits."""
+    limits = table(spark, sf_dir, "pack_limits").collect()  # a fixed table of three rows
+    documents, parts = table(spark, sf_dir, "documents"), []
+    for name in sorted({r.tokenizer for r in limits}):
+        ranks = read_ranks(f"{TOKENIZERS}/{name}.tiktoken")
+        sizes = token_counts(documents, "doc_id", "text", ranks, WORDS)
+        parts.append(pack(sizes, "id", "n_tokens", {r.limit_id: r.capacity for r in limits if r.tokenizer == name}))
+    packed = reduce(DataFrame.unionByName, parts)
+    return packed.select(
+        "limit_id",
+        "container",
+        F.col("id").alias("doc_id"),
+        "piece_no",
+        F.col("first").alias("first_token"),
+        F.col("n").alias("n_tokens"),
+    )
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with passages read in a wrong encoding, and the MD5 of the restored text ('' if it is lost)."""
     found = repair(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", F.coalesce(F.md5(F.encode("restored", "utf-8")), F.lit("")).alias("restored_md5"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
