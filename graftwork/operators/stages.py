@@ -1,0 +1,39 @@
+"""A model-backed stage: each distinct payload is computed once by an injected provider, with retries."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def run_stage(
+    df: DataFrame, payload: str, make_provider: Callable[[], Callable[[str], str]], attempts: int = 3
+) -> DataFrame:
+    """``df`` with answer, attempts and error columns.
+
+    Payloads are deduplicated before the provider sees them and the answers joined back, so equal payloads cost one call.
+    The provider is made once per task. An exception is tried again up to ``attempts`` times; the last one's type becomes
+    ``error`` and the answer is null. Null payloads get no call and no answer."""
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider = make_provider()
+        for pdf in batches:
+            out = []
+            for p in pdf._p:
+                answer = error = None
+                tried = 0
+                while tried < attempts and answer is None:
+                    tried += 1
+                    try:
+                        answer, error = provider(p), None
+                    except Exception as e:  # noqa: BLE001 - any failure of a provider is data here
+                        error = type(e).__name__
+                out.append((p, answer, tried, error))
+            yield pd.DataFrame(out, columns=["_p", "answer", "attempts", "error"])
+
+    distinct = df.select(F.col(payload).alias("_p")).filter("_p is not null").distinct()
+    answers = distinct.mapInPandas(call, "_p string, answer string, attempts int, error string")
+    return df.join(answers, F.col(payload) == F.col("_p"), "left").drop("_p")
