@@ -31,11 +31,11 @@ def _span_pattern(delimiters: str, quotes: tuple[tuple[str, str], ...]) -> str:
     forms = []
     for left, right in quotes:
         if left == right:  # quotes that can be escaped; the second form is for stray quotes inside
-            forms.append(rf"{left}(?:[^{left}\\]|{left}{left}|\\.)*+{left}(?={pad}(?:$|[{ends}]))")
-            forms.append(rf"{left}[^\n]*?{left}(?={pad}(?:$|[{ends}]))")
+            forms.append(rf"{left}(?:[^{left}\\]|{left}{left}|\\.)*+{left}(?={pad}(?:\z|[{ends}]))")
+            forms.append(rf"{left}[^\n]*?{left}(?={pad}(?:\z|[{ends}]))")
         else:
-            forms.append(rf"{left}[^{right}]*+{right}(?={pad}(?:$|[{ends}]))")
-    return rf"(?s)(?<=^|[{ends}]){pad}(?:{'|'.join(forms)}){pad}|{MARK}"
+            forms.append(rf"{left}[^{right}]*+{right}(?={pad}(?:\z|[{ends}]))")
+    return rf"(?s)(?<=\A|[{ends}]){pad}(?:{'|'.join(forms)}){pad}|{MARK}"
 
 
 def _unquoted(span: Column, quotes: tuple[tuple[str, str], ...]) -> Column:

@@ -25,7 +25,7 @@ def split_fields(line: Column, delimiter: str) -> Column:
     """The fields of a line; a quoted field keeps its delimiters and loses its quotes."""
     d = re.escape(delimiter)
     raw = F.regexp_extract_all(
-        F.concat(F.lit(delimiter), line), F.lit(rf'{d}(?:"(?:[^"]|"")*+"(?={d}|$)|[^{d}]*+)'), F.lit(0)
+        F.concat(F.lit(delimiter), line), F.lit(rf'{d}(?:"(?:[^"]|"")*+"(?={d}|\z)|[^{d}]*+)'), F.lit(0)
     )
 
     def bare(x: Column) -> Column:
