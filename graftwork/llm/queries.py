@@ -124,4 +124,35 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found}
-ORACLES: dict[str, str] = {}
+_VOID = "lower(trim({0}, ' \t\n\r\u3000')) in ('', '0', '0.0', 'none', 'null', 'nan')"
+ORACLES: dict[str, str] = {
+    "p2_found": r"""
+with t as (
+  select distinct 'candidates' as src, candidate_id as id, 0 as num, text from candidates
+  union all select distinct 'offline_copy', cast(copy_id as varchar), copy_id, copy from offline_copy),
+z as (select src, id, num, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') as z from t),
+i as (select src, id, num, z, unnest(range(1, length(z) - 1)) as i from z where length(z) >= 3),
+g as (select distinct src, id, num, substring(z, i, 3) as g from i),
+n as (select src, id, count(*) as n from g group by 1, 2),
+p as (select a.src, a.id as a, b.id as b, count(*) as c from g a join g b on a.src = b.src and a.g = b.g
+      and case when a.src = 'candidates' then a.id < b.id else a.num < b.num end group by 1, 2, 3)
+select p.src, p.a as id_a, p.b as id_b from p join n x on p.src = x.src and p.a = x.id join n y on p.src = y.src and p.b = y.id
+where p.c >= 0.6 * (x.n + y.n - p.c)""",
+    "p3_found": f"""
+with k as (select distinct candidate_id, product_id from candidates),
+l as (select candidate_id, arg_max(total_score, (judged_at, judgment_id)) as s from judgments group by 1),
+a as (select 'product' as grouping_kind, product_id as group_id, candidate_id as member_id,
+  row_number() over (partition by product_id order by s desc, candidate_id) as r from k join l using (candidate_id) where product_id is not null),
+e as (select distinct exposure_id, item_id, p_ctr from exposure_log
+  where p_ctr is not null and not isnan(p_ctr) and item_id is not null and not {_VOID.format("item_id")}),
+b as (select 'item', item_id, cast(exposure_id as varchar),
+  row_number() over (partition by item_id order by p_ctr desc, exposure_id) as r from e)
+select grouping_kind, group_id, cast(r as integer) as rank_no, member_id from (from a union all from b) where r <= 5""",
+    "p5_found": f"""
+with s as (select distinct on (state_id) state_id, order_goods_id_list_topn as o, addcart_goods_id_list_topn as c, collect_goods_id_list_topn as d from user_state),
+g as (select state_id, unnest(list_concat(coalesce(regexp_extract_all(o, '-?[0-9]+'), []), coalesce(c, []), coalesce(d, []))) as x from s),
+b as (select distinct state_id, trim(x, ' \t\n\r\u3000') as x from g where x is not null and not {_VOID.format("x")}),
+n as (select x, count(*) as n from b group by 1), t as (select count(distinct state_id) as t from b),
+p as (select l.x as a, r.x as b, count(*) as c from b l join b r on l.state_id = r.state_id and l.x < r.x group by 1, 2 having count(*) >= 5)
+select p.a as goods_a, p.b as goods_b from p join n x on p.a = x.x join n y on p.b = y.x, t where p.c * t.t >= 5 * x.n * y.n""",
+}
