@@ -56,7 +56,7 @@ def clean_tokens(c: Column) -> Column:
 def meaningful(c: Column) -> Column:
     """A number above zero, or a text that is not blank and not void."""
     n = c.try_cast("double")
-    return F.coalesce(F.when(n.isNotNull(), n > 0).otherwise(~is_void(c.cast("string"))), F.lit(False))
+    return F.coalesce(F.when(n.isNotNull() & ~F.isnan(n), n > 0).otherwise(~is_void(c.cast("string"))), F.lit(False))
 
 
 def filled_leaf(c: Column) -> Column:

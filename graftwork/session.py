@@ -26,3 +26,14 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there, so that it is computed once."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over enough tasks for work that costs far more than moving its rows, if its files give too few.
+
+    Many small or few large files decide how many tasks a scan has; where that is below twice the cores, rows are moved
+    once by the hash of ``keys``. A large input has more splits than that and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(4 * cores, *keys)
