@@ -1,7 +1,11 @@
-"""Numbers: tolerant casts, bands, beliefs and their tails, all in built-in expressions."""
+"""Numbers: tolerant casts, bands, beliefs and their tails; built-in expressions but for the last three."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,3 +70,35 @@ def wilson_low(successes: Column, trials: Column, z: float = 1.96) -> Column:
     centre = p + z * z / (2 * trials)
     spread = z * F.sqrt(p * (1 - p) / trials + z * z / (4 * trials * trials))
     return F.when(trials > 0, (centre - spread) / (1 + z * z / trials)).otherwise(F.lit(0.0))
+
+
+def rounded(c: Column, places: int) -> Column:
+    """Half-even rounding of the exact binary value, as Python rounds; the built-in functions round its decimal text."""
+
+    @F.pandas_udf("double")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v if pd.isna(v) else round(v, places))
+
+    return run(c.cast("double"))
+
+
+def beta_above_normal(alpha: Column, beta: Column, threshold: float = 0.5) -> Column:
+    """P(theta > threshold) by the normal approximation, for counts that are not whole or very large."""
+
+    @F.pandas_udf("double")
+    def run(mean: pd.Series, deviation: pd.Series) -> pd.Series:
+        z = (threshold - mean) / deviation
+        return z.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2)))
+
+    n = alpha + beta
+    return run((alpha / n).cast("double"), F.sqrt(alpha * beta / (n * n * (n + 1))).cast("double"))
+
+
+def beta_draw(alpha: Column, beta: Column, *seed: Column) -> Column:
+    """A draw from Beta(alpha, beta) that depends on the seed columns only, not on partitions or retries."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng(int(k) & (2**63 - 1)).beta(x, y) for x, y, k in zip(a, b, s)])
+
+    return run(alpha.cast("double"), beta.cast("double"), F.xxhash64(*seed))

@@ -2,9 +2,9 @@
 
 import pytest
 
-from graftwork.plans import core_queries, list_group, review
+from graftwork.plans import core_queries, list_group, reports, review
 
-MODULES = (core_queries, list_group, review)
+MODULES = (core_queries, list_group, review, reports)
 ALL = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.ORACLES.items()}
 
