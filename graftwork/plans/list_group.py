@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from graftwork.functions.numeric import banded, relative_to, to_flag
 from graftwork.functions.predicates import filled_leaf, first_valid, is_void
 from graftwork.functions.text import canonical_name, safe_name, signature
-from graftwork.operators.ordering import frequency_text, numbered, once, one_per_key, rank_text
-from graftwork.session import table
+from graftwork.operators.ordering import frequency_text, numbered, one_per_key, rank_text
+from graftwork.session import cut, table
 from graftwork.sources.delimited import repaired_rows
 
 QUERIES: dict = {}
@@ -32,10 +32,9 @@ EXPOSURES = "with e as (select distinct * from exposure_log) "
 
 
 def exposures(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Each exposure once, with the columns asked for."""
-    rows = table(spark, sf_dir, "exposure_log")
-    keep = dict.fromkeys(["exposure_id", *columns])
-    return rows.select(*keep).dropDuplicates(["exposure_id"]) if columns else once(rows, "exposure_id", "arrived_at")
+    """Each exposure once, with the columns asked for. Re-sent rows repeat the whole row, so equal rows are merged by a
+    hash aggregate; keeping one row per key would have to sort before the shuffle."""
+    return table(spark, sf_dir, "exposure_log").select(*dict.fromkeys(["exposure_id", *columns])).distinct()
 
 
 @query(
@@ -234,7 +233,7 @@ def typical_brand_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NM9, NM10, NM11, PF15: how an exposure's category and brand fit what the user clicked."""
-    e = exposures(spark, sf_dir, "user_id", "is_clk_c", "item_cat3_name", "item_brand_name")
+    e = cut(exposures(spark, sf_dir, "user_id", "is_clk_c", "item_cat3_name", "item_brand_name"))  # read four times
     index = table(spark, sf_dir, "cat3_cat1_index")
     clicked = e.filter("is_clk_c = 1 and user_id is not null")
     cats = clicked.filter("item_cat3_name is not null").select("user_id", F.col("item_cat3_name").alias("cat3")).distinct()

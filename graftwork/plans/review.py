@@ -14,7 +14,7 @@ from graftwork.operators.integrity import unknown_references as unknown
 from graftwork.operators.ordering import gated, once, one_per_key, round_robin
 from graftwork.operators.stages import run_stage
 from graftwork.plans.list_group import EXPOSURES, exposures
-from graftwork.session import table
+from graftwork.session import cut, table
 from graftwork.streaming import journal as streams
 
 QUERIES: dict = {}
@@ -39,11 +39,11 @@ LATEST = CJ + ", l as (select * from (select *, row_number() over (partition by
 
 
 def candidates(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "candidates").select("candidate_id", *columns).dropDuplicates(["candidate_id"])
+    return table(spark, sf_dir, "candidates").select("candidate_id", *columns).distinct()
 
 
 def judgments(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "judgments").select("judgment_id", *columns).dropDuplicates(["judgment_id"])
+    return table(spark, sf_dir, "judgments").select("judgment_id", *columns).distinct()
 
 
 def latest_judgments(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -270,7 +270,7 @@ def cohort_uplift(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.count("*") <= 3, "few").otherwise("many").alias("band"),
         F.coalesce(F.max("is_clk_c") == 1, F.lit(False)).alias("trial"),
     )
-    rows = per.join(score, "request_id")
+    rows = cut(per.join(score, "request_id"))  # one row per request, read once per level
     trials = rows.filter("trial").drop("trial")
     out = ladder_baseline(trials, rows.filter("not trial"), ["wave"], [["cat", "band"], ["cat"], []], "score")
     mean, own = F.round("baseline_mean", 6), F.round("score", 6)
