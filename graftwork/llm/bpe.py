@@ -22,7 +22,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graftwork.session import cut
+from graftwork.session import cut, spread
 
 #: Fixed value: the pattern that splits text before the merges, as Java writes it.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -116,6 +116,7 @@ def encoded_word(word: Column, ranks: dict[bytes, int]) -> Column:
 def encode_corpus(df: DataFrame, id_col: str, text_col: str, ranks: dict[bytes, int]) -> DataFrame:
     """(id, ids): the token ids of every text."""
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = spread(texts, "id")
     keyed = texts.select("id", F.xxhash64("text").alias("h"), "text")
     words = keyed.select(
         "id", "h", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("pos", "word")

@@ -19,13 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graftwork.session import cut
+from graftwork.session import cut, spread
 
 SHARD = 20_000
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(id, n_tokens) of every text by a byte-level BPE tokenizer; null and empty texts have none. Narrow."""
+    """(id, n_tokens) of every text by a byte-level BPE tokenizer; null and empty texts have none."""
     shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))  # as large as the vocabulary
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,7 +38,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, ranks: dict[bytes, i
             yield pd.DataFrame({"id": pdf.id, "n_tokens": np.array(sizes, np.int64)})
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
+    return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id").mapInPandas(
         count, f"id {kind}, n_tokens long"
     )
 
