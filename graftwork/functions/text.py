@@ -66,3 +66,22 @@ def elapsed(seconds: Column) -> Column:
     h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
     short, long = F.format_string("%02d:%02d", m, r), F.format_string("%02d:%02d:%02d", h, m, r)
     return F.when(s >= 3600, long).otherwise(short)
+
+
+def first_rule(c: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
+    """The name of the first (name, pattern) that the text holds."""
+    out = F.when(F.lit(False), F.lit(otherwise))
+    for name, pattern in rules:
+        out = out.when(c.rlike(pattern), F.lit(name))
+    return out.otherwise(F.lit(otherwise))
+
+
+def mapped(c: Column, words: dict) -> Column:
+    """The word of a code; null for codes without one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), c)
+
+
+def overlaps_or_any(values: Column, wanted: list[str]) -> Column:
+    """Whether a list is empty or null, which matches all, or shares a member with ``wanted``."""
+    some = F.arrays_overlap(values, F.array(*map(F.lit, wanted)))
+    return (F.coalesce(F.size(values), F.lit(0)) <= 0) | F.coalesce(some, F.lit(False))

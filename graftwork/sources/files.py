@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graftwork.functions.text import safe_name
+
 SERVING = ["request_id", "user_id", "item_id", "copy"]
 
 
@@ -38,3 +40,9 @@ def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, size, sha256) of the files of a folder and its subfolders."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_evidence(df: DataFrame, path: str) -> None:
+    """Records in a folder per request and node, named by ids fit for paths."""
+    named = df.withColumns({c: safe_name(F.col(c)) for c in ("request_id", "node_id")})
+    named.write.mode("append").partitionBy("request_id", "node_id").json(path)

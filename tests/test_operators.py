@@ -155,3 +155,10 @@ def test_streams_equal_batches_and_resume_files(spark, tmp_path):
     assert sorted(r.id for r in ledger) == list(range(30))
     days = journal.windowed_stream(spark, stream(), "t", "1 day", [], "v")
     assert sum(r.n for r in days.collect()) == batch.count()
+
+
+def test_evidence_folders(spark, tmp_path):
+    df = spark.createDataFrame([("a/b", "..n", 1), ("c", None, 2)], "request_id string, node_id string, x int")
+    files.write_evidence(df, str(tmp_path / "e"))
+    got = {tuple(r) for r in spark.read.json(str(tmp_path / "e")).select("request_id", "node_id", "x").collect()}
+    assert got == {("a_b", "n", 1), ("c", "node", 2)}
