@@ -12,6 +12,7 @@ class of similarity 1; ids that are re-sent count once; an empty table gives no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,12 @@ from pyspark.sql import functions as F
 
 from graftwork.session import cut
 
-#: Bands of 3 rows: a pair of similarity 0.6 shares no bucket with probability 0.784 ** 48 = 8e-6.
-BANDS, ROWS = 48, 3
+#: Probability that a pair at the threshold shares no bucket.
+MISSED = 1e-5
+#: Rows of a band by the number of distinct texts up to which they serve.
+ROWS = ((2_000_000, 3), (100_000_000, 4), (5_000_000_000, 5))
+#: Keys over which the members of a bucket meet their centre.
+SALTS = 8
 #: Similarity from which a checked star edge serves as a bridge to its neighbours.
 BRIDGE = 0.35
 _U = np.uint64
@@ -103,23 +108,56 @@ def _signed(batches: Iterator[pd.DataFrame], width: int, bands: int, rows: int)
             )
 
 
+def band_plan(threshold: float, texts: int) -> tuple[int, int]:
+    """(bands, rows): the more texts, the more rows a band has, so that a bucket's chance members stay few beside the
+    alike ones and its centre is one of these; and as many bands as ``MISSED`` asks for. At 0.6: 48 bands of 3 rows."""
+    rows = next((r for most, r in ROWS if texts <= most), 6)
+    share = threshold**rows
+    return (1 if share >= 1 else math.ceil(math.log(MISSED) / math.log1p(-share))), rows
+
+
 def _similarity(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(a, b))
     return common / (F.size(a) + F.size(b) - common)
 
 
 def _checked(edges: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) with their exact similarity, where it reaches ``least``."""
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("runs").alias(f"runs_{x}"))
-    joined = edges.join(side("a"), "a").join(side("b"), "b")
+    """(m, n, a, b, similarity) of the edges (m, n), m < n, whose exact similarity reaches ``least``; a and b are class ids."""
+    side = lambda num, cid: classes.select(
+        F.col("num").alias(num), F.col("cid").alias(cid), F.col("runs").alias(f"runs_{cid}")
+    )
+    joined = edges.join(side("m", "a"), "m").join(side("n", "b"), "n")
     smaller, larger = F.least(F.size("runs_a"), F.size("runs_b")), F.greatest(F.size("runs_a"), F.size("runs_b"))
     return (
         joined.filter(smaller >= F.lit(least) * larger)
-        .select("a", "b", _similarity(F.col("runs_a"), F.col("runs_b")).alias("similarity"))
+        .select("m", "n", "a", "b", _similarity(F.col("runs_a"), F.col("runs_b")).alias("similarity"))
         .filter(F.col("similarity") >= least)
     )
 
 
+def star_edges(buckets: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(m, n), m < n: each member of a bucket with the bucket's centre. ``buckets``: bucket and num, both numbers.
+
+    The centre is the member whose number comes first when xor-ed with the bucket's, so buckets of the same members have
+    different centres, and it is found by an aggregate of plain numbers that combines before the shuffle. Members meet
+    their centre over ``salts`` keys, so a bucket that holds a third of them is spread over tasks."""
+    first = F.min(F.col("num").bitwiseXOR(F.col("bucket")))
+    centres = (
+        buckets.groupBy("bucket")
+        .agg(first.alias("x"), F.count("*").alias("members"))
+        .filter("members > 1")
+        .select("bucket", F.col("x").bitwiseXOR(F.col("bucket")).alias("centre"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    )
+    salted = buckets.withColumn("salt", F.pmod("num", F.lit(salts)).cast("int"))
+    return (
+        salted.join(centres, ["bucket", "salt"])
+        .filter("num <> centre")
+        .select(F.least("num", "centre").alias("m"), F.greatest("num", "centre").alias("n"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     df: DataFrame,
     group: str,
@@ -127,47 +165,41 @@ def near_duplicates(
     text_col: str,
     threshold: float = 0.6,
     width: int = 3,
-    bands: int = BANDS,
-    rows: int = ROWS,
+    bands: int | None = None,
+    rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, members). links: a, b, similarity of every pair of different texts of one group that are at least
-    ``threshold`` alike, a and b being class ids; members: the group, id and class id (cid) of each record."""
+    ``threshold`` alike, a and b being class ids; members: the group, id and class id (cid) of each record. Bands and
+    rows are planned by the number of texts unless both are given.
+
+    A class id is the MD5 of group and normalized text. Candidates carry its first half as a number; should two classes
+    share that, both are checked."""
     texts = df.select(F.col(group).alias("grp"), F.col(id_col).alias("id"), normalized(F.col(text_col)).alias("norm"))
     texts = texts.filter((F.length("norm") >= width) & F.col("id").isNotNull())
     texts = texts.withColumn("cid", F.unhex(F.md5(F.concat_ws("\0", F.coalesce("grp", F.lit("")), "norm"))))
     members = cut(texts.select("grp", "id", "cid").distinct())
+    if bands is None or rows is None:
+        bands, rows = band_plan(threshold, members.agg(F.approx_count_distinct("cid")).first()[0])
     distinct = texts.select("grp", "cid", "norm").distinct()
-    classes = cut(
-        distinct.mapInPandas(
-            lambda it: _signed(it, width, bands, rows), "grp string, cid binary, runs array<bigint>, bands array<bigint>"
-        )
-    )
-    buckets = classes.select("cid", F.explode("bands").alias("bucket"), "grp")
-    buckets = buckets.select("cid", F.xxhash64("grp", "bucket").alias("bucket"))
-    centres = (
-        buckets.groupBy("bucket")
-        .agg(F.min_by("cid", F.xxhash64("bucket", "cid")).alias("centre"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("bucket", "centre")
-    )
-    star = (
-        buckets.join(centres, "bucket")
-        .filter("cid <> centre")
-        .select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b"))
-        .distinct()
+    signed = distinct.mapInPandas(
+        lambda it: _signed(it, width, bands, rows), "grp string, cid binary, runs array<bigint>, bands array<bigint>"
     )
-    bridges = cut(_checked(star, classes, min(BRIDGE, threshold)))
-    ends = bridges.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    number = F.conv(F.substring(F.hex("cid"), 2, 15), 16, 10).cast("long")
+    classes = cut(signed.withColumn("num", number))
+    buckets = classes.select("num", "grp", F.explode("bands").alias("bucket"))
+    edges = star_edges(buckets.select("num", F.xxhash64("grp", "bucket").alias("bucket")))
+    bridges = cut(_checked(edges, classes, min(BRIDGE, threshold)))
+    ends = bridges.select(F.col("m").alias("x"), F.col("n").alias("y"))
     both = ends.union(ends.select("y", "x"))
     second = (
         both.join(both.select("x", F.col("y").alias("z")), "x")
         .filter("y < z")
-        .select(F.col("y").alias("a"), F.col("z").alias("b"))
+        .select(F.col("y").alias("m"), F.col("z").alias("n"))
         .distinct()
-        .join(bridges.select("a", "b"), ["a", "b"], "left_anti")
+        .join(bridges.select("m", "n"), ["m", "n"], "left_anti")
     )
     links = bridges.filter(F.col("similarity") >= threshold).unionByName(_checked(second, classes, threshold))
-    return links, members
+    return links.select("a", "b", "similarity"), members
 
 
 def duplicate_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
