@@ -14,14 +14,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graftwork.session import cut
+
 
 def top_n(
     df: DataFrame, group: list[str], score: str, ties: list[str], n: int, bins: int = 2048, salts: int = 16
 ) -> DataFrame:
-    """The rows of ``df`` with ``rank_no`` 1..n by ``score`` (high first) and ``ties`` (small first) per ``group``."""
+    """The rows of ``df``, which are written once and so should hold no more columns than needed, with ``rank_no``
+    1..n by ``score`` (high first) and ``ties`` (small first) per ``group``."""
     rows = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     for g in group:
         rows = rows.filter(F.col(g).isNotNull())
+    rows = cut(rows)  # the range, the histogram and the ranking each read it
     low, high = rows.agg(F.min(score).cast("double"), F.max(score).cast("double")).first()
     if low is None or low == high or high - low == float("inf"):
         place: Column = F.lit(0)
