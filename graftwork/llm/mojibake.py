@@ -26,11 +26,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graftwork.session import cut
+from graftwork.session import cut, spread
 
 #: Encoding pairs (read as, written in), the states beside the clean one.
 PAIRS = (
@@ -68,7 +69,12 @@ SWITCH, INSIDE = math.log(1e-4), math.log(1e-5)
 TWICE = math.log(1e-5)
 #: Passes over a text, for text garbled more than once.
 PASSES = 3
-LOST = "\ufffd"
+#: Paths this far behind the best one are given up.
+BEAM = 25.0
+#: Texts with a passage that came this near to the best path in the first round are labelled again in the second.
+NEAR = 6.0
+#: A lost character, and its log-probability where a passage decodes to it.
+LOST, LOSS = "\ufffd", -3.0
 _WIDE = ("gb18030", "cp932", "cp949")
 _MEMO = 1 << 19
 #: First code points of character classes: control, Latin, other letters, Greek, Cyrillic, other, Arabic,
@@ -90,16 +96,22 @@ class Model:
     """Log-probability of a character after one of a given class; plain characters are passed over."""
 
     def __init__(self, counts: dict[int, int]) -> None:
-        chars = {chr(c): n for c, n in counts.items() if 0x80 <= c < _PAIR_AT and n > 0}
-        of_class = [1.0] * _KINDS
+        chars = {c: n for c, n in counts.items() if 0x80 <= c < _PAIR_AT and n > 0}
+        self.kind = np.repeat(np.array(_CLASSES, np.uint8), np.diff([*_STARTS, _PAIR_AT]))
+        for c in range(0xA0, 0xC0):
+            self.kind[c] = _class(chr(c))
+        of_class = np.ones(_KINDS)
         for c, n in chars.items():
-            of_class[_class(c)] += n
-        self.of_char = {c: (_class(c), math.log(n / of_class[_class(c)])) for c, n in chars.items()}
-        self.unseen = [math.log(0.05 / n) for n in of_class]
-        self.after = []
-        for a in range(_KINDS + 1):
-            row = [max(counts.get(_PAIR_AT + a * 16 + b, 0), 0) + 0.1 for b in range(_KINDS)]
-            self.after.append([math.log(n / sum(row)) for n in row])
+            of_class[self.kind[c]] += n
+        self.log = np.log(0.05 / of_class)[self.kind]
+        at = np.fromiter(chars, np.int64, len(chars))
+        self.log[at] = np.log(np.fromiter(chars.values(), np.float64, len(chars)) / of_class[self.kind[at]])
+        after = np.zeros((_KINDS + 1, _KINDS))
+        for x in range(_KINDS + 1):
+            row = [max(counts.get(_PAIR_AT + x * 16 + y, 0), 0) + 0.1 for y in range(_KINDS)]
+            after[x] = np.log(np.array(row) / sum(row))
+        self.after_array, self.after = after, after.tolist()
+        self.of_char: dict[str, tuple[int, float]] = {}
 
     def chars(self, text: str, before: int, least: float = -1e9) -> tuple[float, int]:
         """(log-probability, class of the last character)"""
@@ -108,9 +120,11 @@ class Model:
             if c > "\x7f":
                 got = self.of_char.get(c)
                 if got is None:
-                    k = _class(c)
-                    got = self.of_char[c] = (k, self.unseen[k])
+                    got = self.of_char[c] = (int(self.kind[ord(c)]), float(self.log[ord(c)]))
                 k, p = got
+                if c == LOST:
+                    total += LOSS
+                    continue
                 p += self.after[before][k]
                 total += max(p, least) if c < "\u0180" or "\u2010" < c < "\u2123" else p
                 before = k
@@ -174,7 +188,7 @@ class _States:
     def __init__(self) -> None:
         self.pairs = [_Pair(*p) for p in PAIRS]
         self.steps: dict[tuple[int, bytes, str], tuple[str, bytes] | None] = {}
-        self.entries: dict[str, list[tuple[int, str, bytes]]] = {}
+        self.entries: dict[str, list[tuple[int, str, bytes]]] = {}  # by two characters
 
     def step(self, k: int, held: bytes, c: str) -> tuple[str, bytes] | None:
         key = (k, held, c)
@@ -184,11 +198,17 @@ class _States:
             self.steps[key] = self.pairs[k].feed(held, c)
         return self.steps[key]
 
-    def enter(self, c: str) -> list[tuple[int, str, bytes]]:
-        if c not in self.entries:
-            steps = ((k, p.feed(b"", c)) for k, p in enumerate(self.pairs))
-            self.entries[c] = [(k, *got) for k, got in steps if got]
-        return self.entries[c]
+    def enter(self, two: str) -> list[tuple[int, str, bytes]]:
+        """Where the first of two characters can begin a passage that the second one, if needed, can go on with."""
+        got = self.entries.get(two)
+        if got is None:
+            if len(self.entries) > _MEMO:
+                self.entries.clear()
+            c, d = two[0], two[1:] or "\n"
+            steps = ((k, self.step(k, b"", c)) for k in range(len(self.pairs)))
+            got = [(k, *x) for k, x in steps if x and not (x[1] and self.step(k, x[1], d) is None)]
+            self.entries[two] = got
+        return got
 
 
 _kept: list[_States] = []
@@ -203,70 +223,92 @@ def _states() -> _States:
 _HIGH = re.compile(r"[^\x00-\x7f]")
 
 
-def label(text: str, model: Model) -> list[tuple[int, int, int]]:
-    """Viterbi: the garbled passages (from, to, pair) of the best path."""
+def label(text: str, model: Model) -> tuple[list[tuple[int, int, int]], bool]:
+    """Viterbi: the garbled passages (from, to, pair) of the best path, and whether another came near to it."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    high = np.flatnonzero(points > 0x7F)
+    if not len(high):
+        return [], False
+    kinds = model.kind[points[high]]
+    before = np.concatenate([[_KINDS], kinds[:-1]])
+    # What the clean state emits for the first h high characters; plain ones cost the same in every state.
+    clean = [0.0, *np.cumsum(model.log[points[high]] + model.after_array[before, kinds]).tolist()]
+    kinds, places = kinds.tolist(), high.tolist()
     states = _states()
-    pairs = states.pairs
-    # A hypothesis: score, class of the last character, switches as a linked list (earlier, from, to, pair); in a pair's
-    # state also its start.
-    score, last, path = 0.0, _KINDS, None
+    pairs, enter, step = states.pairs, states.enter, states.step
+    n, m = len(text), len(places)
+    # The best path that is clean now: its lead over all-clean, and its switches as a linked list (earlier, from, to,
+    # pair). A hypothesis in a pair's state, by pair and open bytes: score, class of the last character, the switches
+    # before it, its start.
+    lead, path, near = 0.0, None, False
     alive: dict[tuple[int, bytes], tuple[float, int, tuple | None, int]] = {}
-    opened = False
-    n, i = len(text), 0
-    while i < n:
-        c = text[i]
-        high = c > "\x7f"
-        if not high and not opened:
-            # Plain characters cost the same in every state.
-            m = _HIGH.search(text, i)
-            i = m.start() if m else n
-            continue
+
+    def going_on(c: str) -> dict[tuple[int, bytes], tuple[float, int, tuple | None, int]]:
         new: dict[tuple[int, bytes], tuple[float, int, tuple | None, int]] = {}
-        for (k, held), (s, before, way, start) in alive.items():
-            got = states.step(k, held, c)
+        for (k, held), (s, last, way, start) in alive.items():
+            got = step(k, held, c)
             if got:
-                chars, rest = got
-                more, before = model.chars(chars, before, pairs[k].least)
-                key = (k, rest)
-                if key not in new or new[key][0] < s + more:
-                    new[key] = (s + more, before, way, start)
-        if high:
-            for k, chars, rest in states.enter(c):
-                more, before = model.chars(chars, last, pairs[k].least)
-                s = score + SWITCH + more
-                if pairs[k].legacy and i and pairs[k].joins(text[i - 1]):
-                    s += INSIDE
-                key = (k, rest)
+                if got[0]:
+                    more, last = model.chars(got[0], last, pairs[k].least)
+                    s += more
+                key = (k, got[1])
                 if key not in new or new[key][0] < s:
-                    new[key] = (s, before, path, i)
-        more, last = model.chars(c, last)
-        score += more
-        opened = False
-        if new:
-            best = score
-            for (k, held), (s, before, way, start) in new.items():
-                if held:
-                    opened = True
-                elif s > best:
-                    if pairs[k].legacy and i + 1 < n and pairs[k].joins(text[i + 1]):
+                    new[key] = (s, last, way, start)
+        return new
+
+    for h, i in enumerate(places):
+        entries = enter(text[i : i + 2])
+        if not alive and not entries:
+            continue
+        c = text[i]
+        new = going_on(c) if alive else {}
+        least, begin = clean[h + 1] + lead - BEAM, clean[h] + lead + SWITCH
+        for k, chars, rest in entries:
+            s, last = begin, kinds[h - 1] if h else _KINDS
+            if not chars and (k, rest) in new and new[k, rest][0] >= s:
+                continue
+            if chars:
+                more, last = model.chars(chars, last, pairs[k].least)
+                s += more
+                if s < least:
+                    continue
+            if pairs[k].legacy and i and pairs[k].joins(text[i - 1]):
+                s += INSIDE
+            key = (k, rest)
+            if key not in new or new[key][0] < s:
+                new[key] = (s, last, path, i)
+        j = i
+        while True:
+            # Leave where that is better; the next clean character follows the passage's last one.
+            score = clean[h + 1] + lead
+            for (k, held), (s, last, way, start) in new.items():
+                if not held and s > score - NEAR:
+                    near = True
+                    if h + 1 < m:
+                        s += model.after[last][kinds[h + 1]] - model.after[kinds[h]][kinds[h + 1]]
+                    if pairs[k].legacy and j + 1 < n and pairs[k].joins(text[j + 1]):
                         s += INSIDE
-                    if s > score:
-                        score, last, path = s, before, (way, start, i + 1, k)
-            worst = score - 60
-            new = {key: h for key, h in new.items() if h[0] > worst or key[1]}
-        alive = new
-        i += 1
+                    if s > clean[h + 1] + lead:
+                        lead, path = s - clean[h + 1], (way, start, j + 1, k)
+            worst = max([score, *[x[0] for x in new.values()]]) - BEAM if new else 0.0
+            alive = {key: x for key, x in new.items() if x[0] > worst}
+            j += 1
+            if not (j < n and text[j] <= "\x7f" and any(held for _, held in alive)):
+                break
+            new = going_on(text[j])
     spans = []
     while path:
         path, start, end, k = path
         spans.append((start, end, k))
-    return spans[::-1]
+    return spans[::-1], near
 
 
-def restore(text: str, model: Model) -> str:
-    """The text with every labelled passage put through its pair's inverse transform."""
+def restore(text: str, model: Model) -> tuple[str, bool]:
+    """The text with every labelled passage put through its pair's inverse transform, and whether a passage was near."""
+    close = False
     for _ in range(PASSES):
-        spans = label(text, model)
+        spans, near = label(text, model)
+        close |= near
         if not spans:
             break
         out, at = [], 0
@@ -275,7 +317,7 @@ def restore(text: str, model: Model) -> str:
             out += [text[at:start], b"".join(p.to_bytes(c) for c in text[start:end]).decode(p.written_in)]
             at = end
         text = "".join(out) + text[at:]
-    return text
+    return text, close
 
 
 def character_counts(texts: DataFrame, column: str) -> DataFrame:
@@ -302,7 +344,7 @@ def character_counts(texts: DataFrame, column: str) -> DataFrame:
 
 
 def _restored(df: DataFrame, id_col: str, text_col: str, counts: dict[int, int]) -> DataFrame:
-    """(id, text, restored) of the texts that change or have lost characters."""
+    """(id, text, restored) of the texts that change, nearly do or have lost characters."""
     shared = df.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -310,8 +352,8 @@ def _restored(df: DataFrame, id_col: str, text_col: str, counts: dict[int, int])
         for pdf in batches:
             out = []
             for key, text in zip(pdf.id, pdf.text):
-                done = text if text.isascii() else restore(text, model)
-                if done != text or LOST in text:
+                done, near = (text, False) if text.isascii() else restore(text, model)
+                if near or done != text or LOST in text:
                     out.append((key, text, done))
             yield pd.DataFrame(out, columns=["id", "text", "restored"])
 
@@ -322,17 +364,19 @@ def _restored(df: DataFrame, id_col: str, text_col: str, counts: dict[int, int])
 
 def repair(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, restored): the garbled texts and their originals, null where characters are lost for good."""
+    df = spread(df.select(id_col, text_col), id_col)
     counts = Counter({r.c: r.n for r in character_counts(df, text_col).collect()})
     first = cut(_restored(df, id_col, text_col, dict(counts)))
     # Garbled texts out, restored ones in: what the characters of clean text are like.
+    changed = first.filter((F.col("text") != F.col("restored")) | F.contains("text", F.lit(LOST)))
     change = (
-        character_counts(first, "text")
+        character_counts(changed, "text")
         .select("c", (-F.col("n")).alias("n"))
-        .unionByName(character_counts(first.filter(~F.contains("restored", F.lit(LOST))), "restored"))
+        .unionByName(character_counts(changed.filter(~F.contains("restored", F.lit(LOST))), "restored"))
     )
     for r in change.groupBy("c").agg(F.sum("n").alias("n")).collect():
         counts[r.c] += r.n
-    second = _restored(df, id_col, text_col, dict(counts))
-    return second.select(
-        F.col("id").alias(id_col), F.when(~F.contains("restored", F.lit(LOST)), F.col("restored")).alias("restored")
-    )
+    second = _restored(spread(first.drop("restored"), "id"), "id", "text", dict(counts))
+    lost = F.contains("restored", F.lit(LOST))
+    found = second.filter(lost | (F.col("text") != F.col("restored")))
+    return found.select(F.col("id").alias(id_col), F.when(~lost, F.col("restored")).alias("restored"))
