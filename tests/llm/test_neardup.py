@@ -20,8 +20,8 @@ def brute(rows, threshold):
     return out
 
 
-def found(spark, rows, **more):
-    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
+def found(spark, records, **more):
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in records], SCHEMA)
     links, members = near_duplicates(df, "g", "id", "t", **more)
     got = [(r.grp, *sorted((r.id_a, r.id_b))) for r in duplicate_pairs(links, members).collect()]
     assert len(got) == len(set(got))
