@@ -27,7 +27,7 @@ from graftwork.session import cut, spread
 #: Fixed value: the pattern that splits text before the merges, as Java writes it.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FREQUENT, SHORT = 20_000, 64
-_BUCKETS = 1 << 15
+_BUCKETS = 1 << 13
 _LEFT, _RIGHT = "Ā", "ā"
 
 
