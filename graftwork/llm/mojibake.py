@@ -66,7 +66,7 @@ PAIRS = (
 #: Log-probabilities of entering a pair's state, and of entering or leaving it inside a word.
 SWITCH, INSIDE = math.log(1e-4), math.log(1e-5)
 #: Least log-probability of a Latin character decoded by a UTF-8 state: it may be a step of text garbled twice.
-TWICE = math.log(1e-5)
+TWICE = math.log(1e-4)
 #: Passes over a text, for text garbled more than once.
 PASSES = 3
 #: Paths this far behind the best one are given up.
