@@ -71,8 +71,6 @@ TWICE = math.log(1e-4)
 PASSES = 3
 #: Paths this far behind the best one are given up.
 BEAM = 25.0
-#: Texts with a passage that came this near to the best path in the first round are labelled again in the second.
-NEAR = 6.0
 #: A lost character, and its log-probability where a passage decodes to it.
 LOST, LOSS = "\ufffd", -3.0
 _WIDE = ("gb18030", "cp932", "cp949")
@@ -223,12 +221,12 @@ def _states() -> _States:
 _HIGH = re.compile(r"[^\x00-\x7f]")
 
 
-def label(text: str, model: Model) -> tuple[list[tuple[int, int, int]], bool]:
-    """Viterbi: the garbled passages (from, to, pair) of the best path, and whether another came near to it."""
+def label(text: str, model: Model) -> list[tuple[int, int, int]]:
+    """Viterbi: the garbled passages (from, to, pair) of the best path."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     high = np.flatnonzero(points > 0x7F)
     if not len(high):
-        return [], False
+        return []
     kinds = model.kind[points[high]]
     before = np.concatenate([[_KINDS], kinds[:-1]])
     # What the clean state emits for the first h high characters; plain ones cost the same in every state.
@@ -240,7 +238,7 @@ def label(text: str, model: Model) -> tuple[list[tuple[int, int, int]], bool]:
     # The best path that is clean now: its lead over all-clean, and its switches as a linked list (earlier, from, to,
     # pair). A hypothesis in a pair's state, by pair and open bytes: score, class of the last character, the switches
     # before it, its start.
-    lead, path, near = 0.0, None, False
+    lead, path = 0.0, None
     alive: dict[tuple[int, bytes], tuple[float, int, tuple | None, int]] = {}
 
     def going_on(c: str) -> dict[tuple[int, bytes], tuple[float, int, tuple | None, int]]:
@@ -282,8 +280,7 @@ def label(text: str, model: Model) -> tuple[list[tuple[int, int, int]], bool]:
             # Leave where that is better; the next clean character follows the passage's last one.
             score = clean[h + 1] + lead
             for (k, held), (s, last, way, start) in new.items():
-                if not held and s > score - NEAR:
-                    near = True
+                if not held:
                     if h + 1 < m:
                         s += model.after[last][kinds[h + 1]] - model.after[kinds[h]][kinds[h + 1]]
                     if pairs[k].legacy and j + 1 < n and pairs[k].joins(text[j + 1]):
@@ -300,15 +297,13 @@ def label(text: str, model: Model) -> tuple[list[tuple[int, int, int]], bool]:
     while path:
         path, start, end, k = path
         spans.append((start, end, k))
-    return spans[::-1], near
+    return spans[::-1]
 
 
-def restore(text: str, model: Model) -> tuple[str, bool]:
-    """The text with every labelled passage put through its pair's inverse transform, and whether a passage was near."""
-    close = False
+def restore(text: str, model: Model) -> str:
+    """The text with every labelled passage put through its pair's inverse transform."""
     for _ in range(PASSES):
-        spans, near = label(text, model)
-        close |= near
+        spans = label(text, model)
         if not spans:
             break
         out, at = [], 0
@@ -317,7 +312,7 @@ def restore(text: str, model: Model) -> tuple[str, bool]:
             out += [text[at:start], b"".join(p.to_bytes(c) for c in text[start:end]).decode(p.written_in)]
             at = end
         text = "".join(out) + text[at:]
-    return text, close
+    return text
 
 
 def character_counts(texts: DataFrame, column: str) -> DataFrame:
@@ -344,7 +339,7 @@ def character_counts(texts: DataFrame, column: str) -> DataFrame:
 
 
 def _restored(df: DataFrame, id_col: str, text_col: str, counts: dict[int, int]) -> DataFrame:
-    """(id, text, restored) of the texts that change, nearly do or have lost characters."""
+    """(id, text, restored) of the texts that change or have lost characters."""
     shared = df.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -352,8 +347,8 @@ def _restored(df: DataFrame, id_col: str, text_col: str, counts: dict[int, int])
         for pdf in batches:
             out = []
             for key, text in zip(pdf.id, pdf.text):
-                done, near = (text, False) if text.isascii() else restore(text, model)
-                if near or done != text or LOST in text:
+                done = text if text.isascii() else restore(text, model)
+                if done != text or LOST in text:
                     out.append((key, text, done))
             yield pd.DataFrame(out, columns=["id", "text", "restored"])
 
@@ -368,15 +363,14 @@ def repair(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     counts = Counter({r.c: r.n for r in character_counts(df, text_col).collect()})
     first = cut(_restored(df, id_col, text_col, dict(counts)))
     # Garbled texts out, restored ones in: what the characters of clean text are like.
-    changed = first.filter((F.col("text") != F.col("restored")) | F.contains("text", F.lit(LOST)))
     change = (
-        character_counts(changed, "text")
+        character_counts(first, "text")
         .select("c", (-F.col("n")).alias("n"))
-        .unionByName(character_counts(changed.filter(~F.contains("restored", F.lit(LOST))), "restored"))
+        .unionByName(character_counts(first.filter(~F.contains("restored", F.lit(LOST))), "restored"))
     )
     for r in change.groupBy("c").agg(F.sum("n").alias("n")).collect():
         counts[r.c] += r.n
-    second = _restored(spread(first.drop("restored"), "id"), "id", "text", dict(counts))
+    # All texts again: what the first round took for ordinary language may be far from it by the cleaned table.
+    second = _restored(df, id_col, text_col, dict(counts))
     lost = F.contains("restored", F.lit(LOST))
-    found = second.filter(lost | (F.col("text") != F.col("restored")))
-    return found.select(F.col("id").alias(id_col), F.when(~lost, F.col("restored")).alias("restored"))
+    return second.select(F.col("id").alias(id_col), F.when(~lost, F.col("restored")).alias("restored"))

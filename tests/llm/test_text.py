@@ -118,6 +118,18 @@ def test_planted_passages_are_restored(spark):
     assert got.keys() == want.keys()
 
 
+def test_short_passages_like_a_common_source_are_restored(spark):
+    # A fifth of the rows is garbled alike: its characters pass as ordinary language until the second round's table.
+    bad = lambda t: t.encode().decode("latin-1")
+    french = "naïve élève à côté d'une forêt où le château brûlé ne gêne guère « la fenêtre déjà cassée après la fête » 20° été "
+    rows = [(i, french + str(i), None) for i in range(200)]
+    rows += [(1_000 + i, bad(french * 3 + str(i)), french * 3 + str(i)) for i in range(50)]
+    rows += [(2_000 + i, bad(f"cafe {i}: thé"), f"cafe {i}: thé") for i in range(3)]
+    df = spark.createDataFrame(rows, "i long, t string, original string")
+    got = {r.i: r.restored for r in mojibake.repair(df, "i", "t").collect()}
+    assert got == {i: original for i, _, original in rows if original}
+
+
 def test_nothing_to_repair(spark):
     df = spark.createDataFrame([(1, "plain"), (2, None)], "i long, t string")
     assert mojibake.repair(df, "i", "t").count() == 0
