@@ -74,6 +74,7 @@ def windowed_stream(spark: SparkSession, events: DataFrame, at: str, width: str,
 
 
 def ledger_stream(spark: SparkSession, events: DataFrame, key: str, at: str) -> DataFrame:
-    """The rows without those re-sent: each key once, within a day of its first arrival."""
-    timed = events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", "30 days")
-    return _last_batch(spark, timed.dropDuplicatesWithinWatermark([key]).drop("_at"), "append")
+    """The rows without those re-sent: each key once, however late its rows come; ``at`` sets no limit.
+
+    The keys seen so far are state in the shared checkpoint folder, and stay there."""
+    return _last_batch(spark, events.dropDuplicates([key]), "append")

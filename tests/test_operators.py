@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -157,6 +158,19 @@ def test_streams_equal_batches_and_resume_files(spark, tmp_path):
     assert sum(r.n for r in days.collect()) == batch.count()
 
 
+def test_ledger_keeps_late_rows_and_each_key_once(spark, tmp_path):
+    # One file a batch, in the order written: late rows after a watermark, then a key sent again long after.
+    sent = [[(1, "2025-03-01")], [(2, "2025-03-02")], [(3, "2025-01-01")] * 2, [(4, "2025-06-01")], [(1, "2025-06-02")]]
+    for k, rows in enumerate(sent):
+        df = spark.createDataFrame(rows, "id long, t string").withColumn("t", F.to_timestamp("t")).coalesce(1)
+        df.write.mode("append").parquet(str(tmp_path / "log.parquet"))
+        for f in (tmp_path / "log.parquet").glob("*.parquet"):
+            if f.stat().st_mtime > 1_000_000_000:
+                os.utime(f, (900_000_000 + k * 1_000,) * 2)
+    ledger = journal.ledger_stream(spark, journal.source(spark, str(tmp_path), "log", per_batch=1), "id", "t")
+    assert sorted(r.id for r in ledger.collect()) == [1, 2, 3, 4]
+
+
 def test_evidence_folders(spark, tmp_path):
     df = spark.createDataFrame([("a/b", "..n", 1), ("c", None, 2)], "request_id string, node_id string, x int")
     files.write_evidence(df, str(tmp_path / "e"))
