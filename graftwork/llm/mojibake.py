@@ -8,7 +8,7 @@ character before. Switching costs ``SWITCH``; characters that no bytes of the pa
 labels the passages, and each labelled passage gets its pair's inverse transform.
 
 Character probabilities are counted over all texts, and counted again over the first round's restored texts, so garbled
-passages do not pass as ordinary language. Text garbled twice is restored by another pass over its own result.
+passages do not pass as ordinary language. Text garbled more than once is restored by further passes over its own result.
 
 Defined cases: null and empty texts are never garbled; a text with U+FFFD, before or after restoring, has lost
 characters for good: it counts as found and its restored text is null. Bytes that the wrong encoding leaves undefined
@@ -67,10 +67,6 @@ PAIRS = (
 SWITCH, INSIDE = math.log(1e-4), math.log(1e-5)
 #: Least log-probability of a Latin character decoded by a UTF-8 state: it may be a step of text garbled twice.
 TWICE = math.log(1e-4)
-#: Passes over a text, for text garbled more than once.
-PASSES = 3
-#: Paths this far behind the best one are given up.
-BEAM = 25.0
 #: A lost character, and its log-probability where a passage decodes to it.
 LOST, LOSS = "\ufffd", -3.0
 _WIDE = ("gb18030", "cp932", "cp949")
@@ -109,6 +105,9 @@ class Model:
             row = [max(counts.get(_PAIR_AT + x * 16 + y, 0), 0) + 0.1 for y in range(_KINDS)]
             after[x] = np.log(np.array(row) / sum(row))
         self.after_array, self.after = after, after.tolist()
+        # By two classes: the most that a path whose last character is of the first one can gain on one of the second
+        # by the next character.
+        self.gain = np.maximum((after[:, None] - after[None]).max(axis=2), 0.0).tolist()
         self.of_char: dict[str, tuple[int, float]] = {}
 
     def chars(self, text: str, before: int, least: float = -1e9) -> tuple[float, int]:
@@ -260,7 +259,7 @@ def label(text: str, model: Model) -> list[tuple[int, int, int]]:
             continue
         c = text[i]
         new = going_on(c) if alive else {}
-        least, begin = clean[h + 1] + lead - BEAM, clean[h] + lead + SWITCH
+        begin = clean[h] + lead + SWITCH
         for k, chars, rest in entries:
             s, last = begin, kinds[h - 1] if h else _KINDS
             if not chars and (k, rest) in new and new[k, rest][0] >= s:
@@ -268,8 +267,6 @@ def label(text: str, model: Model) -> list[tuple[int, int, int]]:
             if chars:
                 more, last = model.chars(chars, last, pairs[k].least)
                 s += more
-                if s < least:
-                    continue
             if pairs[k].legacy and i and pairs[k].joins(text[i - 1]):
                 s += INSIDE
             key = (k, rest)
@@ -278,17 +275,21 @@ def label(text: str, model: Model) -> list[tuple[int, int, int]]:
         j = i
         while True:
             # Leave where that is better; the next clean character follows the passage's last one.
-            score = clean[h + 1] + lead
-            for (k, held), (s, last, way, start) in new.items():
-                if not held:
+            # Without open bytes, a path that the clean one reaches at its dearest entry can be no part of a best path:
+            # entering anew with the next character is no worse. One with open bytes has yet to pay and always goes on.
+            alive, again, gain = {}, clean[h + 1] + lead + SWITCH + INSIDE, model.gain
+            for (k, held), x in new.items():
+                s, last, way, start = x
+                if held:
+                    alive[k, held] = x
+                elif s + gain[last][kinds[h]] > again:
+                    alive[k, held] = x
                     if h + 1 < m:
                         s += model.after[last][kinds[h + 1]] - model.after[kinds[h]][kinds[h + 1]]
                     if pairs[k].legacy and j + 1 < n and pairs[k].joins(text[j + 1]):
                         s += INSIDE
                     if s > clean[h + 1] + lead:
                         lead, path = s - clean[h + 1], (way, start, j + 1, k)
-            worst = max([score, *[x[0] for x in new.values()]]) - BEAM if new else 0.0
-            alive = {key: x for key, x in new.items() if x[0] > worst}
             j += 1
             if not (j < n and text[j] <= "\x7f" and any(held for _, held in alive)):
                 break
@@ -302,10 +303,9 @@ def label(text: str, model: Model) -> list[tuple[int, int, int]]:
 
 def restore(text: str, model: Model) -> str:
     """The text with every labelled passage put through its pair's inverse transform."""
-    for _ in range(PASSES):
-        spans = label(text, model)
-        if not spans:
-            break
+    seen = set()
+    while text not in seen and (spans := label(text, model)):
+        seen.add(text)
         out, at = [], 0
         for start, end, k in spans:
             p = _states().pairs[k]

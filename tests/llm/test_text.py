@@ -130,6 +130,28 @@ def test_short_passages_like_a_common_source_are_restored(spark):
     assert got == {i: original for i, _, original in rows if original}
 
 
+def _model(chars, twos):
+    return mojibake.Model({ord(c): n for c, n in chars.items()} | {mojibake._PAIR_AT + a * 16 + b: n for (a, b), n in twos.items()})
+
+
+def test_passage_that_begins_rare_inside_a_word():
+    chars = {"Â": 1000, "Å": 100, "ê": 10, "ì": 1, "×": 1, "Ô": 1, "é": 10**8, "的": 10**9, "觎": 10**7, "自": 10**6}
+    model = _model(chars, {(10, 1): 10**7, (1, 1): 5 * 10**7, (10, 9): 10**6, (9, 9): 10**7, (1, 9): 1})
+    text = "No" + "屡觎觎自".encode("gb18030").decode("latin-1")
+    assert mojibake.restore(text, model) == "No屡觎觎自"
+    spans = mojibake.label(text, model)
+    model.gain = [[1e9] * 11] * 11  # nothing is given up
+    assert mojibake.label(text, model) == spans
+
+
+def test_text_garbled_six_times():
+    text = once = "Добавьте сцену на прогулке. Этот крем очень свежий."
+    model = _model({c: 10_000 for c in text if c > "\x7f"}, {(10, 4): 10_000, (4, 4): 400_000})
+    for _ in range(6):
+        text = text.encode().decode("latin-1")
+    assert mojibake.restore(text, model) == once
+
+
 def test_nothing_to_repair(spark):
     df = spark.createDataFrame([(1, "plain"), (2, None)], "i long, t string")
     assert mojibake.repair(df, "i", "t").count() == 0
