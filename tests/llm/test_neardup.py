@@ -2,9 +2,11 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from graftwork.llm.neardup import _runs, band_plan, duplicate_pairs, near_duplicates, one_permutation
+from graftwork.llm import neardup
+from graftwork.llm.neardup import _runs, band_plan, duplicate_pairs, near_duplicates, one_permutation, star_edges
 
 SCHEMA = "g string, id string, t string, norm string, cid string"
 
@@ -42,7 +44,7 @@ def test_band_plan():
         assert (1 - 0.6**rows) ** bands <= 1e-5 and n * 0.03**rows < 10 ** (rows + 1)
 
 
-@pytest.mark.parametrize("plan", [{}, {"bands": 83, "rows": 4}, {"bands": 143, "rows": 5}])
+@pytest.mark.parametrize("plan", [{}, {"bands": 83, "rows": 4}, {"bands": 143, "rows": 5}, {"few": 2, "tile": 5}, {"few": 1}])
 def test_equals_brute_force(spark, plan):
     rng = random.Random(5)
     rows = []
@@ -61,6 +63,44 @@ def test_hot_copies_and_odd_texts(spark):
     assert got == brute(list(dict.fromkeys(rows)), 0.6) and len(got) == 60 * 59 // 2
 
 
+def test_stars_of_hot_and_other_buckets(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([7, 7, 7, 8, 9, 10 + k]), n) for k in range(40) for n in range(30)]
+    rows = list(dict.fromkeys(rows))
+    df = spark.createDataFrame(rows, "bucket long, num long").repartition(3)
+    want = set()
+    for b in {b for b, _ in rows}:
+        own = sorted((n for x, n in rows if x == b), key=lambda n: n ^ b)
+        want |= {(min(c, n), max(c, n)) for c in own[:2] for n in own if n != c}
+    for hot in (10, 10**9):
+        got = [tuple(r) for r in star_edges(df, hot_members=hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_stars_over_batches():
+    rng = np.random.default_rng(2)
+    bucket = np.sort(rng.integers(0, 40, 300))
+    pdf = pd.DataFrame({"bucket": bucket, "num": np.arange(300)})
+    whole = pd.concat(neardup._stars(iter([pdf])))
+    parts = pd.concat(neardup._stars(pdf.iloc[k : k + 7] for k in range(0, 300, 7)))
+    assert sorted(map(tuple, whole.to_numpy())) == sorted(map(tuple, parts.to_numpy()))
+    assert len(whole) == sum(max(2 * n - 3, 0) if n > 1 else 0 for n in np.bincount(bucket))
+
+
+def test_no_join_broadcasts_what_grows(spark):
+    df = spark.createDataFrame([("x", str(i), f"文案{i % 7}号很长很长", "clash", "clash") for i in range(50)], SCHEMA)
+    links, members = near_duplicates(df, "g", "id", "t")
+    for plan in (links, duplicate_pairs(links, members)):
+        plan.collect()
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_are_paired_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PARTS", 3)
+    rows = [("x", f"{i:03}", "同一段文案同一段文案") for i in range(40)] + [("x", f"b{i}", "同一段文案同一段文案呀") for i in range(9)]
+    assert found(spark, rows) == brute(rows, 0.6)
+
+
 def test_empty_table(spark):
     assert found(spark, []) == set()
 
