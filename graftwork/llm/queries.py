@@ -22,9 +22,6 @@ from graftwork.session import table
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = os.environ.get("GRAFTWORK_TOKENIZERS", "/opt/tokenizers")
 
-#: The word pattern as the Python libraries write it.
-WORDS = PATTERN.removeprefix("(?U)")
-
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records of one table whose texts are at least 0.6 alike in runs of 3 characters."""
@@ -104,7 +101,7 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, parts = table(spark, sf_dir, "documents"), []
     for name in sorted({r.tokenizer for r in limits}):
         ranks = read_ranks(f"{TOKENIZERS}/{name}.tiktoken")
-        sizes = token_counts(documents, "doc_id", "text", ranks, WORDS)
+        sizes = token_counts(documents, "doc_id", "text", ranks, PATTERN)
         parts.append(pack(sizes, "id", "n_tokens", {r.limit_id: r.capacity for r in limits if r.tokenizer == name}))
     packed = reduce(DataFrame.unionByName, parts)
     return packed.select(

@@ -13,10 +13,10 @@ def test_query_equals_its_sql(name, spark, sf_dir, same):
 def test_p6_equals_the_library(spark, sf_dir):
     import tiktoken
 
-    from graftwork.llm.bpe import read_ranks
+    from graftwork.llm import bpe
 
-    ranks = read_ranks(f"{q.TOKENIZERS}/byte_bpe_50k.tiktoken")
-    lib = tiktoken.Encoding("t", pat_str=q.WORDS, mergeable_ranks=ranks, special_tokens={})
+    ranks = bpe.read_ranks(f"{q.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    lib = tiktoken.Encoding("t", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {r.doc_id: r.ids for r in q.p6_ids(spark, sf_dir).collect()}
     assert got == {k: lib.encode_ordinary(t) for k, t in texts.items()}

@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from graftwork.llm import bpe, mojibake, packing
-from graftwork.llm.queries import TOKENIZERS, WORDS
+from graftwork.llm.queries import TOKENIZERS
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +16,7 @@ def ranks():
 def library(ranks):
     import tiktoken
 
-    return tiktoken.Encoding("t", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("t", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def test_encoding_of_odd_texts(spark, ranks, library):
@@ -24,6 +24,7 @@ def test_encoding_of_odd_texts(spark, ranks, library):
         "", None, " ", "\n\n  x\t", "a" * 3_000, "ab" * 1_500, "x1!" * 300, "Hello, world's 123  end ", "　全角　空格",
         "中文没有空格的很长很长的句子" * 60, "👨‍👩‍👧🏳️‍🌈 𝓯𝓪𝓷𝓬𝔂 ①②㎏", "العربية русский 한국어 日本語", "\x00\x01\x1f\x7f\x85\xa0", "<|endoftext|>",
         "lowercase DON'T we'll 'S", "base64" + "QWxhZGRpbjpvcGVuIHNlc2FtZQ" * 40, "​‍﻿", "\U000e0001\U0010ffff",
+        "".join(np.random.default_rng(3).choice(list("abcdefghijklmnopqrstuvwxyz"), 100_000)),
     ]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "i long, t string, word string")
     got = {r.id: r.ids for r in bpe.encode_corpus(df.union(df.limit(3)), "i", "t", ranks).collect()}
