@@ -109,6 +109,9 @@ class Model:
         # by the next character.
         self.gain = np.maximum((after[:, None] - after[None]).max(axis=2), 0.0).tolist()
         self.of_char: dict[str, tuple[int, float]] = {}
+        # Steps with their score: by character, then by state and class; and entries by characters and class.
+        self.moves: dict[str, dict[int, tuple[float, int, int] | None]] = {}
+        self.doors: dict[tuple[str, str, str, int], list[tuple[float, int, int]]] = {}
 
     def chars(self, text: str, before: int, least: float = -1e9) -> tuple[float, int]:
         """(log-probability, class of the last character)"""
@@ -163,11 +166,8 @@ class _Pair:
         """Whether a passage that begins after c, or ends before it, would cut a word in two."""
         return self.legacy and c.isalpha() and (self.single or c > "\x7f") and self.to_bytes(c) is not None
 
-    def feed(self, held: bytes, c: str) -> tuple[str, bytes] | None:
-        """(decoded characters, bytes still open) or None if the character's bytes cannot follow."""
-        new = self.to_bytes(c)
-        if new is None:
-            return None
+    def decode(self, held: bytes, new: bytes) -> tuple[str, bytes] | None:
+        """(decoded characters, bytes still open) or None if the new bytes cannot follow."""
         decoder = codecs.getincrementaldecoder(self.written_in)("strict")
         try:
             text = decoder.decode(held + new)
@@ -179,34 +179,70 @@ class _Pair:
             return None
 
 
+class _Either(_Pair):
+    """Latin-1 and Windows-1252 alike: as long as no character tells them apart, two pairs are one state."""
+
+    def __init__(self, a: int, b: int, pairs: list[_Pair]) -> None:
+        super().__init__(pairs[a].read_as, pairs[a].written_in)
+        self.either = (a, b)
+        both = pairs[b].bytes_of
+        self.bytes_of = {c: x for c, x in self.bytes_of.items() if both.get(c) == x}
+
+
 class _States:
-    """The pairs with what is known of their steps; kept by each worker process."""
+    """The pairs, and the states (pair, open bytes) by number; kept by each worker process."""
 
     def __init__(self) -> None:
         self.pairs = [_Pair(*p) for p in PAIRS]
-        self.steps: dict[tuple[int, bytes, str], tuple[str, bytes] | None] = {}
-        self.entries: dict[str, list[tuple[int, str, bytes]]] = {}  # by two characters
-
-    def step(self, k: int, held: bytes, c: str) -> tuple[str, bytes] | None:
-        key = (k, held, c)
-        if key not in self.steps:
-            if len(self.steps) > _MEMO:
-                self.steps.clear()
-            self.steps[key] = self.pairs[k].feed(held, c)
-        return self.steps[key]
-
-    def enter(self, two: str) -> list[tuple[int, str, bytes]]:
-        """Where the first of two characters can begin a passage that the second one, if needed, can go on with."""
-        got = self.entries.get(two)
+        for a, (read_as, written_in) in enumerate(PAIRS):
+            if read_as == "latin-1":
+                self.pairs.append(_Either(a, PAIRS.index(("cp1252", written_in)), self.pairs))
+        self.number: dict[tuple[int, bytes], int] = {}
+        self.pair_of: list[int] = []
+        self.held: list[bytes] = []
+        self.firsts: dict[str, tuple[list[tuple[str, bytes, int]], bool, bool]] = {}
+        self.fits: dict[tuple[int, bytes, str], bool] = {}
+
+    def state(self, k: int, held: bytes) -> int:
+        n = self.number.setdefault((k, held), len(self.held))
+        if n == len(self.held):
+            self.pair_of.append(k)
+            self.held.append(held)
+        return n
+
+    def step(self, k: int, held: bytes, c: str) -> tuple[str, bytes, int] | None:
+        """(decoded characters, bytes still open, pair) after one more character, or None."""
+        new = self.pairs[k].to_bytes(c)
+        if new is None and isinstance(self.pairs[k], _Either):
+            k = next((x for x in self.pairs[k].either if self.pairs[x].to_bytes(c) is not None), k)
+            new = self.pairs[k].to_bytes(c)
+        got = None if new is None else self.pairs[k].decode(held, new)
+        return got and (*got, k)
+
+    def begun(self, c: str) -> tuple[list[tuple[str, bytes, int]], bool, bool]:
+        """The passages that c can begin; whether the character after it matters to them, and the one before."""
+        got = self.firsts.get(c)
         if got is None:
-            if len(self.entries) > _MEMO:
-                self.entries.clear()
-            c, d = two[0], two[1:] or "\n"
-            steps = ((k, self.step(k, b"", c)) for k in range(len(self.pairs)))
-            got = [(k, *x) for k, x in steps if x and not (x[1] and self.step(k, x[1], d) is None)]
-            self.entries[two] = got
+            steps = []
+            for k, p in enumerate(self.pairs):
+                if p.to_bytes(c) is None:
+                    continue
+                # A pair of two alike ones begins alone only with a character that tells them apart.
+                if k < len(PAIRS) and any(k in x.either and x.to_bytes(c) is not None for x in self.pairs[len(PAIRS) :]):
+                    continue
+                steps.append(self.step(k, b"", c))
+            steps = [x for x in steps if x]
+            got = self.firsts[c] = steps, any(x[1] for x in steps), any(self.pairs[x[2]].legacy for x in steps)
         return got
 
+    def goes_on(self, k: int, held: bytes, c: str) -> bool:
+        key = k, held, c
+        if key not in self.fits:
+            if len(self.fits) > _MEMO:
+                self.fits.clear()
+            self.fits[key] = self.step(k, held, c) is not None
+        return self.fits[key]
+
 
 _kept: list[_States] = []
 
@@ -220,6 +256,28 @@ def _states() -> _States:
 _HIGH = re.compile(r"[^\x00-\x7f]")
 
 
+def _move(model: Model, c: str, key: int) -> tuple[float, int, int] | None:
+    """(score, state, class of the last character) after character c in the state and class of ``key``."""
+    states = _states()
+    sid, last = key >> 4, key & 15
+    got = states.step(states.pair_of[sid], states.held[sid], c)
+    if got is None:
+        return None
+    more, last = model.chars(got[0], last, states.pairs[got[2]].least) if got[0] else (0.0, last)
+    return more, states.state(got[2], got[1]), last
+
+
+def _doors(model: Model, c0: str, c: str, c1: str, before: int) -> list[tuple[float, int, int]]:
+    """(score, state, class) of each passage that can begin with c, between c0 and c1."""
+    states, out = _states(), []
+    for chars, rest, k in states.begun(c)[0]:
+        if rest and not states.goes_on(k, rest, c1):
+            continue
+        s, last = model.chars(chars, before, states.pairs[k].least) if chars else (0.0, before)
+        out.append((s + SWITCH + (INSIDE if states.pairs[k].joins(c0) else 0.0), states.state(k, rest), last))
+    return out
+
+
 def label(text: str, model: Model) -> list[tuple[int, int, int]]:
     """Viterbi: the garbled passages (from, to, pair) of the best path."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -230,68 +288,77 @@ def label(text: str, model: Model) -> list[tuple[int, int, int]]:
     before = np.concatenate([[_KINDS], kinds[:-1]])
     # What the clean state emits for the first h high characters; plain ones cost the same in every state.
     clean = [0.0, *np.cumsum(model.log[points[high]] + model.after_array[before, kinds]).tolist()]
-    kinds, places = kinds.tolist(), high.tolist()
+    kinds, places = [*kinds.tolist(), _KINDS], high.tolist()  # the last one stands for the first character's forerunner
     states = _states()
-    pairs, enter, step = states.pairs, states.enter, states.step
-    n, m = len(text), len(places)
+    pairs, pair_of, held, moves, doors = states.pairs, states.pair_of, states.held, model.moves, model.doors
+    begun, firsts = states.begun, states.firsts
+    n, m, gains, after = len(text), len(places), model.gain, model.after
+    if len(moves) > _MEMO or len(doors) > _MEMO:
+        moves.clear()
+        doors.clear()
     # The best path that is clean now: its lead over all-clean, and its switches as a linked list (earlier, from, to,
-    # pair). A hypothesis in a pair's state, by pair and open bytes: score, class of the last character, the switches
-    # before it, its start.
+    # pair). A hypothesis, by its state: score, class of the last character, the switches before it, its start.
     lead, path = 0.0, None
-    alive: dict[tuple[int, bytes], tuple[float, int, tuple | None, int]] = {}
-
-    def going_on(c: str) -> dict[tuple[int, bytes], tuple[float, int, tuple | None, int]]:
-        new: dict[tuple[int, bytes], tuple[float, int, tuple | None, int]] = {}
-        for (k, held), (s, last, way, start) in alive.items():
-            got = step(k, held, c)
+    alive: dict[int, tuple[float, int, tuple | None, int]] = {}
+
+    def going_on(c: str) -> dict[int, tuple[float, int, tuple | None, int]]:
+        new: dict[int, tuple[float, int, tuple | None, int]] = {}
+        of_c = moves.get(c)
+        if of_c is None:
+            of_c = moves[c] = {}
+        for sid, (s, last, way, start) in alive.items():
+            key = sid << 4 | last
+            if key in of_c:
+                got = of_c[key]
+            else:
+                got = of_c[key] = _move(model, c, key)
             if got:
-                if got[0]:
-                    more, last = model.chars(got[0], last, pairs[k].least)
-                    s += more
-                key = (k, got[1])
-                if key not in new or new[key][0] < s:
-                    new[key] = (s, last, way, start)
+                more, to, last = got
+                s += more
+                if to not in new or new[to][0] < s:
+                    new[to] = (s, last, way, start)
         return new
 
     for h, i in enumerate(places):
-        entries = enter(text[i : i + 2])
+        c, entries = text[i], ()
+        steps, needs_next, needs_last = firsts.get(c) or begun(c)
+        if steps:
+            c0, c1 = text[i - 1] if needs_last and i else "\n", text[i + 1] if needs_next and i + 1 < n else "\n"
+            key = c0, c, c1, kinds[h - 1]
+            entries = doors.get(key)
+            if entries is None:
+                entries = doors[key] = _doors(model, *key)
         if not alive and not entries:
             continue
-        c = text[i]
         new = going_on(c) if alive else {}
-        begin = clean[h] + lead + SWITCH
-        for k, chars, rest in entries:
-            s, last = begin, kinds[h - 1] if h else _KINDS
-            if not chars and (k, rest) in new and new[k, rest][0] >= s:
-                continue
-            if chars:
-                more, last = model.chars(chars, last, pairs[k].least)
-                s += more
-            if pairs[k].legacy and i and pairs[k].joins(text[i - 1]):
-                s += INSIDE
-            key = (k, rest)
-            if key not in new or new[key][0] < s:
-                new[key] = (s, last, path, i)
+        begin = clean[h] + lead
+        for s, sid, last in entries:
+            s += begin
+            if sid not in new or new[sid][0] < s:
+                new[sid] = (s, last, path, i)
         j = i
         while True:
             # Leave where that is better; the next clean character follows the passage's last one.
             # Without open bytes, a path that the clean one reaches at its dearest entry can be no part of a best path:
             # entering anew with the next character is no worse. One with open bytes has yet to pay and always goes on.
-            alive, again, gain = {}, clean[h + 1] + lead + SWITCH + INSIDE, model.gain
-            for (k, held), x in new.items():
+            alive, again, kind = {}, clean[h + 1] + lead + SWITCH + INSIDE, kinds[h]
+            for sid, x in new.items():
+                if held[sid]:
+                    alive[sid] = x
+                    continue
                 s, last, way, start = x
-                if held:
-                    alive[k, held] = x
-                elif s + gain[last][kinds[h]] > again:
-                    alive[k, held] = x
+                if s + gains[last][kind] > again:
+                    alive[sid] = x
                     if h + 1 < m:
-                        s += model.after[last][kinds[h + 1]] - model.after[kinds[h]][kinds[h + 1]]
-                    if pairs[k].legacy and j + 1 < n and pairs[k].joins(text[j + 1]):
-                        s += INSIDE
+                        s += after[last][kinds[h + 1]] - after[kind][kinds[h + 1]]
                     if s > clean[h + 1] + lead:
-                        lead, path = s - clean[h + 1], (way, start, j + 1, k)
+                        k = pair_of[sid]
+                        if j + 1 < n and pairs[k].joins(text[j + 1]):
+                            s += INSIDE
+                        if s > clean[h + 1] + lead:
+                            lead, path = s - clean[h + 1], (way, start, j + 1, k)
             j += 1
-            if not (j < n and text[j] <= "\x7f" and any(held for _, held in alive)):
+            if not (j < n and text[j] <= "\x7f" and any(held[sid] for sid in alive)):
                 break
             new = going_on(text[j])
     spans = []
