@@ -32,7 +32,7 @@ def _span_pattern(delimiters: str, quotes: tuple[tuple[str, str], ...]) -> str:
     for left, right in quotes:
         if left == right:  # quotes that can be escaped; the second form is for stray quotes inside
             forms.append(rf"{left}(?:[^{left}\\]|{left}{left}|\\.)*+{left}(?={pad}(?:\z|[{ends}]))")
-            forms.append(rf"{left}[^\n]*?{left}(?={pad}(?:\z|[{ends}]))")
+            forms.append(rf"{left}[^\n{ends}]*?{left}(?={pad}(?:\z|[{ends}]))")
         else:
             forms.append(rf"{left}[^{right}]*+{right}(?={pad}(?:\z|[{ends}]))")
     return rf"(?s)(?<=\A|[{ends}]){pad}(?:{'|'.join(forms)}){pad}|{MARK}"
@@ -57,7 +57,8 @@ def packed_values(
     pattern = _span_pattern(delimiters, quotes)
     text = strip(cell)
     as_json = F.when(text.startswith("["), F.try_parse_json(text).isNotNull()).otherwise(F.lit(False))
-    body = F.when(as_json, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+    listed = text.rlike(r"(?s)^\[\s*'.*'\s*\]$")  # a list as Python writes it
+    body = F.when(as_json | listed, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
     json_pattern = r'(?s)"(?:[^"\\]|\\.)*+"'
     cut = lambda f: F.when(as_json, f(json_pattern)).otherwise(f(pattern))
     spans = cut(lambda p: F.regexp_extract_all(body, F.lit(p), F.lit(0)))
