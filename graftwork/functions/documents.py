@@ -67,22 +67,25 @@ def _step(node: object, token: str, heading: bool) -> object:
 
 def edited(document: object, edits: list[dict]) -> object:
     """The document after its edits in order. ``add`` needs a new key or a place in a list, ``replace`` and ``remove`` an
-    existing one; after ``by_heading`` a section is named by its heading, which must be unique."""
+    existing one; the whole document cannot be replaced. Below ``/sections/by_heading`` a section is named by its heading,
+    which must be unique."""
     top = {"": json.loads(json.dumps(document))}
     for e in edits:
         path = str(e.get("path", ""))
         if path and not path.startswith("/"):
             raise EditError(f"no pointer: {path!r}")
         tokens = [t.replace("~1", "/").replace("~0", "~") for t in path.split("/")[1:]]
-        node, key, by_heading = top, "", False
-        for t in tokens:
-            if t == "by_heading":
-                by_heading = True
+        if not tokens:
+            raise EditError("the document itself cannot be edited")
+        named = tokens[:2] == ["sections", "by_heading"] and len(tokens) > 2
+        node, key = top, ""
+        for at, t in enumerate(tokens):
+            if named and at == 1:
                 continue
             if isinstance(node, dict) and key not in node or isinstance(node, list) and key >= len(node):
                 raise EditError(f"nothing at {key!r}")
             node = node[key]
-            key, by_heading = _step(node, t, by_heading), False
+            key = _step(node, t, named and at == 2)
         there = key in node if isinstance(node, dict) else key < len(node)
         op = e.get("op")
         if op == "add" and isinstance(node, list) and key <= len(node):
@@ -91,7 +94,7 @@ def edited(document: object, edits: list[dict]) -> object:
             node[key] = e.get("value")
         elif op == "replace" and there:
             node[key] = e.get("value")
-        elif op == "remove" and there and tokens:
+        elif op == "remove" and there:
             del node[key]
         else:
             raise EditError(f"cannot {op} at {path!r}")

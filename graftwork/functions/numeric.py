@@ -1,4 +1,4 @@
-"""Numbers: tolerant casts, bands, beliefs and their tails; built-in expressions but for the last three."""
+"""Numbers: tolerant casts, bands, beliefs and their tails; built-in expressions but for Beta tails and exact rounding."""
 
 from __future__ import annotations
 
@@ -45,23 +45,52 @@ def belief_mean(alpha: Column, beta: Column) -> Column:
     return F.when(alpha + beta > 0, alpha / (alpha + beta)).otherwise(F.lit(0.5))
 
 
-def beta_above(alpha: Column, beta: Column, threshold: float = 0.5) -> Column:
-    """P(theta > threshold) for whole Beta parameters of at least 1, as a binomial tail.
+#: Fixed value: sums of Beta parameters beyond it take the normal approximation.
+EXACT = 2000
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function above 0, by Stirling's series from 10 on."""
+    shift = np.zeros_like(x)
+    y = x.copy()
+    for _ in range(10):
+        low = y < 10
+        shift = shift + np.where(low, np.log(np.where(low, y, 1.0)), 0.0)
+        y = np.where(low, y + 1, y)
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - shift
+
 
-    Terms are summed in log space, each from its forerunner, so nothing underflows however large the counts are."""
+def _beta_below(a: np.ndarray, b: np.ndarray, x: float, steps: int = 200) -> np.ndarray:
+    """The regularized incomplete Beta function by its continued fraction; ``steps`` are enough up to ``EXACT``."""
+    swap = x > (a + 1) / (a + b + 2)  # where the fraction of the other side converges faster
+    p, q, t = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    tiny = 1e-300
+    away = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(t), 1 / away(1 - (p + q) * t / (p + 1))
+    h = d.copy()
+    for m in range(1, steps):
+        for n in (m * (q - m) * t / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * t / ((p + 2 * m) * (p + 2 * m + 1))):
+            d, c = 1 / away(1 + n * d), away(1 + n / c)
+            h = h * d * c
+    front = _log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * np.log(t) + q * np.log(1 - t)
+    part = np.exp(front) * h / p
+    return np.clip(np.where(swap, 1 - part, part), 0.0, 1.0)
+
+
+def beta_above(alpha: Column, beta: Column, threshold: float = 0.5) -> Column:
+    """P(theta > threshold) for Beta parameters above 0, in a fixed number of steps whatever their size; beyond ``EXACT``
+    by the normal approximation. Null for null parameters."""
     if not 0 < threshold < 1:
         raise ValueError("threshold lies between 0 and 1")
-    n = alpha + beta - 1
-    odds = F.log(F.lit(threshold / (1 - threshold)))
-    start = F.struct((n * F.log(F.lit(1 - threshold))).alias("term"), F.lit(0.0).alias("total"))
 
-    def add(acc: Column, j: Column) -> Column:
-        ratio = F.when(j > 0, F.log((n - j + 1) / F.greatest(j, F.lit(1))) + odds).otherwise(F.lit(0.0))
-        term = acc.term + ratio
-        return F.struct(term.alias("term"), (acc.total + F.exp(term)).alias("total"))
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = a.to_numpy(np.float64, na_value=np.nan), b.to_numpy(np.float64, na_value=np.nan)
+        return pd.Series(1 - _beta_below(x, y, threshold))
 
-    steps = F.sequence(F.lit(0), alpha.cast("int") - 1)
-    return F.least(F.aggregate(steps, start, add, lambda acc: acc.total), F.lit(1.0))
+    exact = run(alpha.cast("double"), beta.cast("double"))
+    return F.when(alpha + beta <= EXACT, exact).when(alpha + beta > EXACT, beta_above_normal(alpha, beta, threshold))
 
 
 def wilson_low(successes: Column, trials: Column, z: float = 1.96) -> Column:
@@ -92,13 +121,3 @@ def beta_above_normal(alpha: Column, beta: Column, threshold: float = 0.5) -> Co
 
     n = alpha + beta
     return run((alpha / n).cast("double"), F.sqrt(alpha * beta / (n * n * (n + 1))).cast("double"))
-
-
-def beta_draw(alpha: Column, beta: Column, *seed: Column) -> Column:
-    """A draw from Beta(alpha, beta) that depends on the seed columns only, not on partitions or retries."""
-
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng(int(k) & (2**63 - 1)).beta(x, y) for x, y, k in zip(a, b, s)])
-
-    return run(alpha.cast("double"), beta.cast("double"), F.xxhash64(*seed))

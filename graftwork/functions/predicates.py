@@ -62,3 +62,8 @@ def meaningful(c: Column) -> Column:
 def filled_leaf(c: Column) -> Column:
     """1 for a leaf that is neither null nor empty text, else 0."""
     return F.coalesce((c.cast("string") != "").cast("int"), F.lit(0))
+
+
+def list_values(c: Column, delimiter: str = ",") -> Column:
+    """The values of a plainly delimited text, each cut at its first bracket, stripped, without void ones; null for null."""
+    return clean_tokens(F.transform(F.split(c, delimiter, -1), lambda x: F.substring_index(x, "(", 1)))

@@ -39,10 +39,12 @@ def safe_name(c: Column, fallback: str = "node") -> Column:
     return F.when(F.coalesce(name, F.lit("")) == "", F.lit(fallback)).otherwise(name)
 
 
-def redacted(c: Column, cap: int = 200) -> Column:
-    """Runs of 3 digits and more, and mail addresses, masked; at most ``cap`` characters."""
-    masked = F.regexp_replace(c, r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", "<mail>")
-    return F.left(F.regexp_replace(masked, r"[0-9]{3,}", "<n>"), F.lit(cap))
+def redacted(c: Column, cap: int | None = None) -> Column:
+    """Keys and tokens, mail addresses, and runs of 3 digits and more masked; at most ``cap`` characters, if given."""
+    masked = F.regexp_replace(c, r"(?i)\b(?:bearer|token|secret|api[_-]?key|sk)[ :=_-]+[A-Za-z0-9._-]{8,}", "<key>")
+    masked = F.regexp_replace(masked, r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", "<mail>")
+    masked = F.regexp_replace(masked, r"[0-9]{3,}", "<n>")
+    return masked if cap is None else F.left(masked, F.lit(cap))
 
 
 def has_any(c: Column, terms: list[str]) -> Column:
@@ -85,3 +87,15 @@ def overlaps_or_any(values: Column, wanted: list[str]) -> Column:
     """Whether a list is empty or null, which matches all, or shares a member with ``wanted``."""
     some = F.arrays_overlap(values, F.array(*map(F.lit, wanted)))
     return (F.coalesce(F.size(values), F.lit(0)) <= 0) | F.coalesce(some, F.lit(False))
+
+
+def canonical_category(c: Column, negatives: list[str], aliases: dict[str, str], patterns: dict[str, str], part: str) -> Column:
+    """The class of a name: none for a negative one; by alias; by a pattern for the whole name; or ``part`` where that is
+    one of the parts of a composed name. White space does not count."""
+    name = squeezed(c)
+    out = F.when(name.isin(*negatives), F.lit(None).cast("string"))
+    for alias, category in aliases.items():
+        out = out.when(name == alias, F.lit(category))
+    for category, pattern in patterns.items():
+        out = out.when(name.rlike(f"^(?:{pattern})$"), F.lit(category))
+    return out.when(F.array_contains(F.split(c, r"[/／、,，\s]+"), part), F.lit(part))

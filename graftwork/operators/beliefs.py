@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graftwork.operators.ordering import numbered
+from graftwork.session import cut
+
 
 def fold_journal(portfolio: DataFrame, journal: DataFrame, key: str, success: str, cost: str) -> DataFrame:
     """``portfolio`` with alpha and beta raised by successes and failures, and the sums of trials and cost.
@@ -27,13 +30,11 @@ def fold_journal(portfolio: DataFrame, journal: DataFrame, key: str, success: st
     )
 
 
-def merge_clusters(df: DataFrame, keys: list[str], order: str, union: str, sums: list[str]) -> DataFrame:
-    """One row per cluster: its first row's number, the ordered union of ``union`` (first sighting) and summed counters."""
-    firsts = df.groupBy(*keys, union).agg(F.min(order).alias("_first"), *[F.sum(c).alias(c) for c in sums], F.count("*").alias("_n"))
-    seen = F.array_sort(F.collect_list(F.when(F.col(union).isNotNull(), F.struct("_first", union))))
-    return firsts.groupBy(*keys).agg(
-        F.min("_first").alias("first_row"),
-        F.sum("_n").alias("members"),
-        F.array_join(F.transform(seen, lambda x: x[union]), ",").alias("union"),
-        *[F.sum(c).alias(c) for c in sums],
-    )
+def merge_clusters(df: DataFrame, key: str, order: str, union: str, sums: list[str]) -> DataFrame:
+    """(key, union, place, first_row, members, sums...): the members of each cluster's ordered union, numbered by their
+    first sighting. Clusters may be few and large, so numbers come from a range of all rows, not from a task a cluster."""
+    firsts = df.groupBy(key, union).agg(F.min(order).alias("first_row"), F.count("*").alias("members"), *[F.sum(c).alias(c) for c in sums])
+    rows = cut(numbered(firsts, [key, "first_row", union], "_n"))
+    begins = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_n").alias("_begin"))
+    joined = rows.join(begins, F.col(key).eqNullSafe(F.col("_key")))
+    return joined.select(key, union, (F.col("_n") - F.col("_begin") + 1).alias("place"), "first_row", "members", *sums)

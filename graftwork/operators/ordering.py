@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,17 +83,21 @@ def round_robin(df: DataFrame, bucket: list[str], order: str, n: int) -> DataFra
 def gated(counts: DataFrame, key: str, wave: str, n: str, threshold: int) -> DataFrame:
     """(key, wave, pending, emitted): a key's pending count grows wave by wave; at the threshold it is emitted and cleared.
 
-    One row per key and wave comes in; a key's waves are folded in order."""
-    waves = counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(wave), F.col(n)))).alias("w"))
-    empty = F.array().cast("array<struct<wave:bigint,pending:bigint,emitted:boolean>>")
-
-    def fold(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        kept = F.when((F.size(acc) == 0) | last.emitted, F.lit(0)).otherwise(last.pending)
-        now = kept + x[n]
-        new = F.struct(
-            x[wave].cast("bigint").alias("wave"), now.cast("bigint").alias("pending"), (now >= threshold).alias("emitted")
-        )
-        return F.concat(acc, F.array(new))
-
-    return waves.select(key, F.inline(F.aggregate("w", empty, fold))).withColumnRenamed("wave", wave)
+    One row per key and wave comes in. A key's waves are folded in order, a batch of them at a time: what is carried from
+    batch to batch is one number."""
+    kinds = dict(counts.dtypes)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, pending = None, 0
+        for pdf in batches:
+            out = []
+            for k, x in zip(pdf["k"], pdf["n"].tolist()):
+                pending = (pending if k == last and pending < threshold else 0) + x
+                last = k
+                out.append(pending)
+            yield pd.DataFrame({"k": pdf["k"], "wave": pdf["wave"], "pending": out, "emitted": [p >= threshold for p in out]})
+
+    rows = counts.select(F.col(key).alias("k"), F.col(wave).alias("wave"), F.col(n).cast("long").alias("n"))
+    sorted_rows = rows.repartition("k").sortWithinPartitions("k", "wave")
+    folded = sorted_rows.mapInPandas(fold, f"k {kinds[key]}, wave {kinds[wave]}, pending long, emitted boolean")
+    return folded.withColumnsRenamed({"k": key, "wave": wave})

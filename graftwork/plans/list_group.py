@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graftwork.functions.numeric import banded, relative_to, to_flag
@@ -10,7 +10,7 @@ from graftwork.functions.predicates import filled_leaf, first_valid, is_void
 from graftwork.functions.text import canonical_name, safe_name, signature
 from graftwork.operators.ordering import frequency_text, numbered, one_per_key, rank_text
 from graftwork.session import cut, table
-from graftwork.sources.delimited import repaired_rows
+from graftwork.sources.delimited import delimited_line, repaired_rows, unescaped
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -157,20 +157,15 @@ def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     EXPOSURES
-    + """select exposure_id, nullif(user_id, '') as user_id, nullif(item_name, '') as item_name, nullif(device_type, '') as device_type
-    from e where position(chr(10) in coalesce(item_name, '')) = 0 and position('"' in coalesce(item_name, '')) = 0"""
+    + """select exposure_id, nullif(user_id, '') as user_id, nullif(item_name, '') as item_name, nullif(device_type, '') as device_type from e"""
 )
 def delimited_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC1, SC2, SC8: rows written as delimited lines without quoting, read back with surplus fields repaired."""
-    e = exposures(spark, sf_dir, "user_id", "item_name", "device_type")
-    name = F.coalesce("item_name", F.lit(""))
-    lines = e.filter(~F.contains(name, F.lit("\n")) & ~F.contains(name, F.lit('"'))).select(
-        F.concat_ws(
-            ",", F.col("exposure_id").cast("string"), F.coalesce("user_id", F.lit("")), name, F.coalesce("device_type", F.lit(""))
-        ).alias("line")
-    )
-    rows = repaired_rows(lines, "line", ["exposure_id", "user_id", "item_name", "device_type"], ",", "item_name")
-    return rows.withColumn("exposure_id", F.col("exposure_id").cast("long"))
+    """SC2: rows as delimited lines whose names hold the delimiter bare, read back with the surplus fields repaired."""
+    columns = ["exposure_id", "user_id", "item_name", "device_type"]
+    e = exposures(spark, sf_dir, *columns)
+    lines = e.select(delimited_line(columns, "#", "item_name").alias("line"))
+    rows = repaired_rows(lines, "line", columns, "#", "item_name")
+    return rows.select(F.col("exposure_id").cast("long").alias("exposure_id"), *[unescaped(F.col(c)).alias(c) for c in columns[1:]])
 
 
 _TOKENS = """, t as (select user_id, item_cat3_name as tok, count(*) as n, min(exposure_id) as first
@@ -232,7 +227,7 @@ def typical_brand_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     left join b on e.user_id = b.user_id and e.item_brand_name = b.brand"""
 )
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NM9, NM10, NM11, PF15: how an exposure's category and brand fit what the user clicked."""
+    """NM9, NM10, PF15: how an exposure's category and brand fit what the user clicked."""
     e = cut(exposures(spark, sf_dir, "user_id", "is_clk_c", "item_cat3_name", "item_brand_name"))  # read four times
     index = table(spark, sf_dir, "cat3_cat1_index")
     clicked = e.filter("is_clk_c = 1 and user_id is not null")
@@ -264,7 +259,8 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from r"""
 )
 def baseline_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NM1-NM7, NM12-NM14: a price against the user's own mean, and banded numbers; cuts and labels are parameters."""
+    """NM2, NM7: a price against the user's own mean, and banded numbers; cuts and labels are parameters. All eleven
+    features of the survey: ``derived_features``."""
     e = exposures(spark, sf_dir, "user_id", "is_clk_c", "item_arriv_price", "review_cnt", "is_new")
     priced = e.filter((F.col("is_clk_c") == 1) & F.col("item_arriv_price").isNotNull() & ~F.isnan("item_arriv_price"))
     means = priced.groupBy("user_id").agg(F.avg("item_arriv_price").alias("base"))
@@ -279,18 +275,34 @@ def baseline_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LEAVES = ["age", "gender", "city_level", "vip_level", "is_svip", "register_days", "purchase_price_avg_30d", "prefer_cat3_topk"]
+_LEAVES = [
+    "user_id", "age", "gender", "city_level", "vip_level", "is_svip", "register_days", "click_cnt_30d", "cart_cnt_30d", "order_cnt_30d",
+    "order_cnt_90d", "coupon_use_cnt_30d", "purchase_price_avg_30d", "fav_price_avg_30d", "active_days_30d", "prefer_cat3_topk",
+    "prefer_brand_topk", "seq_click_cat3_48h", "order_goods_id_list_topn", "day_of_week", "hour", "device_type",
+]
+_LISTS = ["addcart_goods_id_list_topn", "collect_goods_id_list_topn"]
 
 
 @query(
-    "with s as (select distinct on (state_id) * from user_state) select state_id, (0"
+    "with s as (select distinct on (state_id) * from user_state), d as (select state_id, (0"
     + "".join(f" + coalesce((cast({c} as varchar) <> '')::int, 0)" for c in _LEAVES)
-    + ")::int as leaves from s"
+    + "".join(f" + coalesce(len(list_filter({c}, lambda x: x <> '')), 0)" for c in _LISTS)
+    + ")::int as leaves from s) select state_id, leaves, case when leaves <= 2 then 'sparse' when leaves <= 6 then 'medium' else 'rich' end as band from d"
 )
 def state_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NM7 and the leaf rule of section 1.3: how many leaves of a snapshot are filled; 0 and false count."""
-    states = table(spark, sf_dir, "user_state").select("state_id", *_LEAVES).dropDuplicates(["state_id"])
-    return states.select("state_id", sum((filled_leaf(F.col(c)) for c in _LEAVES), F.lit(0)).alias("leaves"))
+    """NM7 and the leaf rule of section 1.3: how many leaves of a snapshot are filled, members of lists too; 0 and false
+    count."""
+    states = table(spark, sf_dir, "user_state").select("state_id", *_LEAVES, *_LISTS).distinct()
+    return states.select("state_id", leaves().alias("leaves")).withColumn("band", density_band(F.col("leaves")))
+
+
+def leaves() -> Column:
+    members = [F.size(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x != "")) for c in _LISTS]
+    return sum([filled_leaf(F.col(c)) for c in _LEAVES] + members, F.lit(0))
+
+
+def density_band(c: Column) -> Column:
+    return banded(c, [3, 7], ["sparse", "medium", "rich"], "sparse")
 
 
 @query(
@@ -299,7 +311,7 @@ def state_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select user_id, state_id, logged_at, vip_level from r where rn = 1"
 )
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WN4, WN5: a user's latest snapshot."""
+    """WN4: a user's latest snapshot."""
     states = table(spark, sf_dir, "user_state").select("user_id", "state_id", "logged_at", "vip_level")
     known = states.filter("user_id is not null").dropDuplicates(["state_id"])
     return one_per_key(known, ["user_id"], [F.desc("logged_at"), F.desc("state_id")])

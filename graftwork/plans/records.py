@@ -84,18 +84,26 @@ def humanized_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("state_id", mapped(F.col("gender"), {1: "男", 2: "女"}).alias("gender"), vip.alias("vip"), age.alias("age"))
 
 
-_RULES = [("retry", "重试|retries"), ("failure", "失败|failed"), ("ok", "status=ok")]
+#: Classes of errors and what their text holds, in the order in which they are tried; those worth a retry.
+_RULES = [
+    ("rate_limit", "rate limit|rate_limit|429"),
+    ("auth", "401|402|403|insufficient balance|payment required|authentication|permission"),
+    ("transient_provider", "timeout|deadline|connection reset|peer closed|chunked read|temporarily unavailable|502|503|504"),
+    ("provider_response", "json"),
+]
+_RETRYABLE = ["rate_limit", "transient_provider", "provider_response"]
 
 
 @query(
-    "select kind, case "
-    + " ".join(f"when regexp_matches(text, '{p}') then '{name}'" for name, p in _RULES)
-    + " else 'unknown' end as category, count(*) as n from documents group by 1, 2"
+    "with k as (select kind, case "
+    + " ".join(f"when regexp_matches(lower(text), '{p}') then '{name}'" for name, p in _RULES)
+    + f" else 'unknown' end as category from documents) select kind, category, category in {tuple(_RETRYABLE)} as retryable, count(*) as n from k group by 1, 2"
 )
 def error_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX22, RL2: the first rule of an ordered list whose pattern a text holds."""
+    """TX22, RL2: the class of a text by the first rule whose pattern it holds, and whether it is worth a retry."""
     d = documents(spark, sf_dir)
-    return d.groupBy("kind", first_rule(F.col("text"), _RULES, "unknown").alias("category")).agg(F.count("*").alias("n"))
+    k = d.groupBy("kind", first_rule(F.lower("text"), _RULES, "unknown").alias("category")).agg(F.count("*").alias("n"))
+    return k.select("kind", "category", F.col("category").isin(*_RETRYABLE).alias("retryable"), "n")
 
 
 @query(

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graftwork.functions.documents import apply_edits, parse_sections
-from graftwork.functions.numeric import beta_draw, rounded
-from graftwork.operators.ordering import once, one_per_key
+from graftwork.operators.ordering import once
 from graftwork.plans.list_group import EXPOSURES, exposures
-from graftwork.plans.review import C, CJ, J, candidates, documents, judgments
+from graftwork.plans.review import C, CJ, EDIT, J, candidates, documents, judgments
 from graftwork.session import table
 
 QUERIES: dict = {}
@@ -94,7 +93,7 @@ def failed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
       cast(count(*) filter (not coalesce(json_valid(payload), false)) as bigint) as unreadable, max(attempt) as most_attempts from a"""
 )
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SK7, SK8, AG20, AG22: one row of totals over a run's records."""
+    """SK8: one row of totals over a run's records."""
     a = table(spark, sf_dir, "artifact_log").select("record_id", "request_id", "node_id", "attempt", "payload")
     return a.dropDuplicates(["record_id"]).agg(
         F.count("*").alias("records"),
@@ -137,25 +136,6 @@ def latest_completions(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFram
     return r.withColumn("rn", rank).filter(F.col("rn") <= n).select("device", "request_id", "done")
 
 
-@query(
-    EXPOSURES
-    + """, r as (select distinct request_id, hour from e where request_id is not null and hour is not null),
-    w as (select request_id, min(hour) as wave from r group by 1),
-    k as (select *, md5(request_id || '/7') as draw, count(*) over (partition by wave) as n from w),
-    s as (select *, row_number() over (partition by wave order by draw, request_id) as rn, least(greatest(floor(n * 0.02), 1), n - 1) as slots from k)
-    select wave, request_id, rn <= slots as explored from s"""
-)
-def exploration_slots(spark: SparkSession, sf_dir: str, fraction: float = 0.02, seed: str = "7") -> DataFrame:
-    """WN16, WN17: a seeded sample of each wave without replacement, at least one slot and one left out."""
-    e = exposures(spark, sf_dir, "request_id", "hour").filter("request_id is not null and hour is not null")
-    w = e.groupBy("request_id").agg(F.min("hour").alias("wave"))
-    k = w.withColumn("draw", F.md5(F.concat("request_id", F.lit(f"/{seed}"))))
-    wave = Window.partitionBy("wave")
-    n = F.count("*").over(wave)
-    slots = F.least(F.greatest(F.floor(n * fraction), F.lit(1)), n - 1)
-    return k.select("wave", "request_id", (F.row_number().over(wave.orderBy("draw", "request_id")) <= slots).alias("explored"))
-
-
 @query(
     C
     + """select candidate_id, 'D_' || left(sha256(coalesce(request_id, '') || chr(31) || coalesce(product_id, '') || chr(31) || coalesce(commercial_angle, '')), 12) as stable_id from c"""
@@ -197,22 +177,10 @@ def success_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("place", F.rank().over(Window.partitionBy("angle").orderBy(F.desc(share), "factor")))
 
 
-@query(None)
-def thompson_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NM25, WN15: per wave the variant with the highest draw from its belief; draws depend on wave and variant only."""
-    m = success_ranks(spark, sf_dir)
-    waves = m.withColumn("wave", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    a, b = F.col("successes") + 1, F.col("failures") + 1
-    drawn = waves.withColumn("draw", beta_draw(a, b, F.col("wave"), F.col("angle"), F.col("factor")))
-    best = one_per_key(drawn, ["angle", "wave"], [F.desc("draw"), F.asc("factor")])
-    return best.select("angle", "wave", "factor", rounded(F.col("draw"), 4).alias("draw"))
-
-
 @query(None)
 def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX13, TX14, SK2: documents with headings as structures, each with the edits it holds itself applied or refused."""
-    pattern = r'\{"op": "[a-z]+", "path": "[^"]*", "value": [^{}]*\}'
-    edits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    """TX13, TX14: documents with headings as structures, each with the edits it holds itself applied or refused."""
+    edits = F.regexp_extract_all("text", F.lit(EDIT), F.lit(0))
     d = documents(spark, sf_dir).filter(F.col("text").contains('{"op": '))
     as_json = F.to_json(F.struct(F.col("doc.preamble").alias("preamble"), F.col("doc.sections").alias("sections")))
     rows = d.select("doc_id", parse_sections(F.col("text")).alias("doc"), edits.alias("edits"))

@@ -12,7 +12,6 @@ from graftwork.operators.cohorts import ladder_baseline
 from graftwork.operators.integrity import coverage, nested, repeated_keys
 from graftwork.operators.integrity import unknown_references as unknown
 from graftwork.operators.ordering import gated, once, one_per_key, round_robin
-from graftwork.operators.stages import run_stage
 from graftwork.plans.list_group import EXPOSURES, exposures
 from graftwork.session import cut, table
 from graftwork.streaming import journal as streams
@@ -363,17 +362,16 @@ def extreme_samples(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
 
 @query(
     C
-    + """, k as (select request_id, commercial_angle as angle, product_binding as binding, row_number() over (order by candidate_id) as ord, candidate_id, length(text) as size from c),
-    f as (select angle, binding, min(candidate_id) as first, count(*) as n, sum(size) as size from k group by 1, 2)
-    select angle, min(first) as first_row, cast(sum(n) as bigint) as members, coalesce(string_agg(binding, ',' order by first, binding) filter (binding is not null), '') as "union", cast(sum(size) as bigint) as size from f group by 1"""
+    + """, f as (select commercial_angle as angle, product_binding as binding, min(candidate_id) as first, count(*) as n, cast(sum(length(text)) as bigint) as size from c where product_binding is not null group by 1, 2)
+    select angle, binding, row_number() over (partition by angle order by first, binding) as place, first as first_row, n as members, size from f"""
 )
 def cluster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG24, AG25, ST3: clusters with their first row, the ordered union of a field and summed counters."""
+    """AG24, AG25, ST3: the ordered union of a field over each cluster, a row per member with its place and counters."""
     c = candidates(spark, sf_dir, "commercial_angle", "product_binding", "text")
     rows = c.select(
-        F.col("commercial_angle").alias("angle"), "product_binding", "candidate_id", F.length("text").cast("long").alias("size")
+        F.col("commercial_angle").alias("angle"), F.col("product_binding").alias("binding"), "candidate_id", F.length("text").cast("long").alias("size")
     )
-    return merge_clusters(rows, ["angle"], "candidate_id", "product_binding", ["size"])
+    return merge_clusters(rows.filter("binding is not null"), "angle", "candidate_id", "binding", ["size"])
 
 
 # Artifacts
@@ -412,6 +410,8 @@ def usage_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Documents
 
+#: An edit in a text: its value, which may be missing, holds at most one level of braces.
+EDIT = r'\{"op": "[a-z]+", "path": "[^"]*"(?:, "value": (?:[^{}]|\{[^{}]*\})*)?\}'
 _TERMS = ["node=", "signal_basis", "todo", "trace"]
 
 
@@ -421,7 +421,7 @@ _TERMS = ["node=", "signal_basis", "todo", "trace"]
     + ") as bigint) as flagged from documents group by 1"
 )
 def privacy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PF19, PF20: documents with any of the deny-listed terms."""
+    """PF19: documents with any of the deny-listed terms."""
     d = documents(spark, sf_dir)
     return d.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(has_any(F.col("text"), _TERMS)).alias("flagged"))
 
@@ -434,10 +434,10 @@ def literal_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"select doc_id, left(regexp_replace(regexp_replace(text, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+', '<mail>', 'g'), '[0-9]{3,}', '<n>', 'g'), 200) as safe from documents"
+    r"select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(?:bearer|token|secret|api[_-]?key|sk)[ :=_-]+[A-Za-z0-9._-]{8,}', '<key>', 'g'), '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+', '<mail>', 'g'), '[0-9]{3,}', '<n>', 'g') as safe from documents"
 )
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX25: masked and shortened texts for reports."""
+    """TX25: texts with keys, mail addresses and long numbers masked, whole; a cap on their length is an option."""
     return documents(spark, sf_dir).select("doc_id", redacted(F.col("text")).alias("safe"))
 
 
@@ -470,19 +470,19 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""with p as (select doc_id, unnest(regexp_extract_all(text, '\{"op": "[a-z]+", "path": "[^"]*", "value": [^{}]*\}')) as edit from documents)
+    rf"""with p as (select doc_id, unnest(regexp_extract_all(text, '{EDIT}')) as edit from documents)
     select json_extract_string(edit, '$.op') as op, json_extract_string(edit, '$.path') as path, json_extract_string(edit, '$.value') as value,
-      regexp_extract(json_extract_string(edit, '$.path'), '([^/]*)$', 1) as leaf, count(*) as n from p where json_valid(edit) group by 1, 2, 3, 4"""
+      regexp_extract(json_extract_string(edit, '$.path'), '([^/]*)$', 1) as leaf, regexp_matches(json_extract_string(edit, '$.path'), '^/sections/[0-9]+(/|$)') as numeric_section, count(*) as n from p where json_valid(edit) group by 1, 2, 3, 4, 5"""
 )
 def patch_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX14, TX17, PF30: the edits that documents hold, with the last part of their pointer."""
-    pattern = r'\{"op": "[a-z]+", "path": "[^"]*", "value": [^{}]*\}'
-    edits = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("edit"))
+    """TX17: the edits that documents hold, with or without a value, the last part of their pointer, and whether it names
+    a section by number."""
+    edits = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(EDIT), F.lit(0))).alias("edit"))
     v = F.try_parse_json("edit")
     got = lambda k: F.try_variant_get(v, f"$.{k}", "string")
     rows = edits.filter(v.isNotNull()).select(got("op").alias("op"), got("path").alias("path"), got("value").alias("value"))
-    leaf = F.regexp_extract("path", r"([^/]*)$", 1)
-    return rows.groupBy("op", "path", "value", leaf.alias("leaf")).agg(F.count("*").alias("n"))
+    leaf, numeric = F.regexp_extract("path", r"([^/]*)$", 1), F.col("path").rlike("^/sections/[0-9]+(/|$)")
+    return rows.groupBy("op", "path", "value", leaf.alias("leaf"), numeric.alias("numeric_section")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -498,24 +498,6 @@ def round_robin_sample(spark: SparkSession, sf_dir: str, n: int = 500) -> DataFr
     return round_robin(distinct.select("doc_id", "lang", "kind"), ["lang", "kind"], "doc_id", n)
 
 
-@query(None)
-def provider_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UD1, UD3, UD5, RL1, RL2, RL4: texts put through an offline provider, each distinct text once, with retries."""
-
-    def make():
-        import hashlib
-
-        def offline(payload: str) -> str:
-            if not payload.strip():
-                raise ValueError("blank payload")
-            return hashlib.sha256(payload.encode()).hexdigest()[:12]
-
-        return offline
-
-    d = documents(spark, sf_dir).select("doc_id", "text")
-    return run_stage(d, "text", make).select("doc_id", "answer", "attempts", "error")
-
-
 # Events
 
 
@@ -618,5 +600,13 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select distinct judgment_id, candidate_id, total_score from judgments")
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SS4: a stream of judgments in which re-sent rows count once."""
-    rows = streams.ledger_stream(spark, streams.source(spark, sf_dir, "judgments"), "judgment_id", "judged_at")
+    rows = streams.ledger_stream(spark, streams.source(spark, sf_dir, "judgments"), "judgment_id")
     return rows.select("judgment_id", "candidate_id", "total_score")
+
+
+@query(
+    "with n as (select user_id, count(*) as n from events group by 1), e as (select user_id, unnest(range(1, n // 20 + 1)) as emission from n) select user_id, emission, cast(20 as bigint) as size from e"
+)
+def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SS2: a stream whose rows wait per key and are let go by twenties."""
+    return streams.gate_stream(spark, streams.source(spark, sf_dir, "events"), "user_id", 20)

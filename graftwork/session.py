@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there, so that it is computed once."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -1,7 +1,7 @@
 """Delimited text whose rows may be ragged: the delimiter is detected, short rows dropped, long ones repaired.
 
 A file is read as lines; rows are split, repaired and typed by expressions. A quoted field may hold the delimiter, a
-doubled quote stands for one; line breaks inside quotes are not supported.
+doubled quote stands for one. Line breaks are written as ``\\n`` and ``\\r``, a backslash as two.
 """
 
 from __future__ import annotations
@@ -58,14 +58,48 @@ def repaired_rows(lines: DataFrame, column: str, header: list[str], delimiter: s
     return fields.select(*[c for c in lines.columns if c != column], *cells)
 
 
-def read_delimited(spark: SparkSession, path: str, absorb: str, line_no: str | None = None) -> DataFrame:
-    """A delimited file or folder with a header line, all columns text. ``line_no`` adds a number that rises with the
-    place of the line in its file; it has gaps between parts of a file."""
+def escaped(c: Column) -> Column:
+    """A cell without line breaks."""
+    text = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def unescaped(c: Column) -> Column:
+    breaks = lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.array_join(F.transform(F.split(c, r"\\\\", -1), breaks), "\\")
+
+
+def delimited_line(columns: list[str], delimiter: str, absorb: str) -> Column:
+    """The line of a row. Cells that begin or end with a quote, and all but ``absorb`` that hold the delimiter, are quoted;
+    ``absorb`` may hold it bare, as it takes surplus fields back."""
+
+    def cell(name: str) -> Column:
+        text = escaped(F.coalesce(F.col(name).cast("string"), F.lit("")))
+        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        odd = F.contains(text, F.lit('"')) if name == absorb else F.contains(text, F.lit('"')) | F.contains(text, F.lit(delimiter))
+        return F.when(odd, quoted).otherwise(text)
+
+    return F.concat_ws(delimiter, *map(cell, columns))
+
+
+def write_delimited(df: DataFrame, path: str, columns: list[str], delimiter: str, absorb: str) -> None:
+    """Lines in parts under ``rows``, and the header line under ``header``: the parts of a folder have no first one."""
+    header = df.sparkSession.createDataFrame([(delimiter.join(columns),)], "value string")
+    header.coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    df.select(delimited_line(columns, delimiter, absorb).alias("value")).write.mode("overwrite").text(f"{path}/rows")
+
+
+def read_delimited(
+    spark: SparkSession, path: str, absorb: str, line_no: str | None = None, header: str | None = None
+) -> DataFrame:
+    """A delimited file with a header line, or a folder whose header is given, all columns text and line breaks put back.
+    ``line_no`` adds a number that rises with the place of the line in its file; it has gaps between parts of a file."""
     lines = spark.read.text(path)
-    header = lines.first()[0]
+    header = header if header is not None else lines.first()[0]
     delimiter = detect_delimiter(header)
     names = header.split(delimiter)
     body = lines.filter(F.col("value") != header)
     if line_no:
         body = body.withColumn(line_no, F.monotonically_increasing_id())
-    return repaired_rows(body, "value", names, delimiter, absorb)
+    rows = repaired_rows(body, "value", names, delimiter, absorb)
+    return rows.withColumns({c: unescaped(F.col(c)) for c in names})

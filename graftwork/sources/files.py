@@ -27,7 +27,8 @@ def append_journal(df: DataFrame, path: str) -> None:
 def write_serving(df: DataFrame, path: str) -> None:
     """The four serving columns, as CSV with a header and as JSON lines, in parts."""
     rows = df.select(*[F.col(c).cast("string").alias(c) for c in SERVING])
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/csv")
+    as_is = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.mode("overwrite").options(header=True, escape='"', **as_is).csv(f"{path}/csv")
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/jsonl")
 
 
@@ -43,6 +44,5 @@ def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def write_evidence(df: DataFrame, path: str) -> None:
-    """Records in a folder per request and node, named by ids fit for paths."""
-    named = df.withColumns({c: safe_name(F.col(c)) for c in ("request_id", "node_id")})
-    named.write.mode("append").partitionBy("request_id", "node_id").json(path)
+    """Records in a folder per node, named fit for paths; a folder per request would be one per few rows."""
+    df.withColumn("node_id", safe_name(F.col("node_id"))).write.mode("append").partitionBy("node_id").json(path)

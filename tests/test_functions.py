@@ -56,6 +56,7 @@ def test_text(spark):
     assert one(spark, ["【会员】 ２０２５香水　3ml!", None, "ab"], "string", text.canonical_name) == ["香水ml", None, "ab"]
     assert one(spark, ["../a\\b:c", "", None, "..."], "string", text.safe_name) == ["_a_b_c", "node", "node", "node"]
     assert one(spark, ["call 12345 a@b.cn", None], "string", text.redacted) == ["call <n> <mail>", None]
+    assert one(spark, ["token: abcd_1234efgh x"], "string", lambda c: text.redacted(c, 5)) == ["<key>"]
     assert one(spark, ["a b", "", None], "string", lambda c: text.overlap(c, F.lit("B　C"))) == [1 / 3, 0.0, 0.0]
     assert one(spark, [59, 3600, 3599], "long", text.elapsed) == ["00:59", "01:00:00", "59:59"]
     assert one(spark, ["A Todo", "x", None], "string", lambda c: text.has_any(c, ["todo"])) == [True, False, False]

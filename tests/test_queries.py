@@ -2,9 +2,9 @@
 
 import pytest
 
-from graftwork.plans import core_queries, list_group, records, reports, review
+from graftwork.plans import core_queries, features, files, ledger, list_group, records, reports, review
 
-MODULES = (core_queries, list_group, review, reports, records)
+MODULES = (core_queries, list_group, features, review, reports, records, ledger, files)
 ALL = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.ORACLES.items()}
 
