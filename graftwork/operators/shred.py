@@ -19,7 +19,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,10 +65,20 @@ def _flat(value: object, closed: bool) -> Iterator[tuple[object, int]]:
             todo.pop()
 
 
-def _adjacency(batches: Iterator[pd.DataFrame], scalars: frozenset[str] | None, closed: frozenset[str]):
-    for pdf in batches:
-        out: list[tuple] = []
-        for rec, text in zip(pdf.rec, pdf.doc):
+def _texts(values: list[str | None]) -> pa.Array:
+    """A column of text; a surrogate without its other half, which UTF-8 cannot hold, becomes a question mark."""
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([v if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
+
+
+def _adjacency(
+    batches: Iterator[pa.RecordBatch], scalars: frozenset[str] | None, closed: frozenset[str]
+) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        recs, nodes, parents, labels, ordinals, texts = [], [], [], [], [], []
+        for rec, text in zip(batch.column("rec").to_pylist(), batch.column("doc").to_pylist()):
             try:
                 top = _loads(text)
             except (ValueError, TypeError, RecursionError):
@@ -77,16 +87,33 @@ def _adjacency(batches: Iterator[pd.DataFrame], scalars: frozenset[str] | None,
             n = 0
             while todo:
                 value, parent, label, ordinal = todo.pop()
+                node = text_of = None
                 if isinstance(value, dict):
-                    out.append((rec, n, parent, label, ordinal, True, None))
-                    for k, v in value.items():
-                        shut = k in closed
-                        todo.extend((x, n, k, o) for x, o in _flat(v if shut else _opened(v), shut) if x is not None)
+                    node = n
                     n += 1
+                    for k, v in value.items():
+                        if v.__class__ in (str, list):
+                            shut = k in closed
+                            todo.extend((x, node, k, o) for x, o in _flat(v if shut else _opened(v), shut) if x is not None)
+                        elif v is not None:
+                            todo.append((v, node, k, 0))
                 elif scalars is None or label in scalars:
                     text_of = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
-                    out.append((rec, None, parent, label, ordinal, False, text_of))
-        yield pd.DataFrame(out, columns=_COLUMNS).astype({"node": "Int32", "parent": "Int32", "ordinal": "Int32"})
+                else:
+                    continue
+                recs.append(rec)
+                nodes.append(node)
+                parents.append(parent)
+                labels.append(label)
+                ordinals.append(ordinal)
+                texts.append(text_of)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(recs, pa.int64()), pa.array(nodes, pa.int32()), pa.array(parents, pa.int32()), _texts(labels),
+                pa.array(ordinals, pa.int32()), pa.array([x is not None for x in nodes], pa.bool_()), _texts(texts),
+            ],
+            names=list(_COLUMNS),
+        )
 
 
 def shred(
@@ -100,7 +127,7 @@ def shred(
     return (
         df.filter(F.col(record).isNotNull() & F.col(document).isNotNull())
         .select(F.col(record).cast("long").alias("rec"), F.col(document).alias("doc"))
-        .mapInPandas(
+        .mapInArrow(
             lambda it: _adjacency(it, keep, shut),
             "rec long, node int, parent int, label string, ordinal int, is_object boolean, scalar string",
         )
@@ -108,15 +135,15 @@ def shred(
 
 
 def entities(adjacency: DataFrame, labels: list[str], fields: list[str]) -> DataFrame:
-    """(rec, node, parent, label, ordinal, fields...): object nodes with the given labels and their direct scalar children."""
-    nodes = adjacency.filter(F.col("is_object") & F.col("label").isin(*labels)).select(
-        "rec", "node", "parent", "label", "ordinal"
-    )
-    leaves = adjacency.filter(~F.col("is_object") & F.col("label").isin(*fields) & (F.col("ordinal") == 0)).select(
-        "rec", F.col("parent").alias("node"), F.col("label").alias("field"), "scalar"
-    )
-    pivot = [F.max(F.when(F.col("field") == f, F.col("scalar"))).alias(f) for f in fields]
-    return nodes.join(leaves, ["rec", "node"], "left").groupBy("rec", "node", "parent", "label", "ordinal").agg(*pivot)
+    """(rec, node, parent, label, ordinal, fields...): object nodes with the given labels and their direct scalar children.
+
+    Nodes and children meet by one aggregate on the node, which is also the pivot: children combine before the shuffle."""
+    is_node = F.col("is_object") & F.col("label").isin(*labels)
+    is_leaf = ~F.col("is_object") & F.col("label").isin(*fields) & (F.col("ordinal") == 0)
+    rows = adjacency.filter(is_node | is_leaf).withColumn("at", F.coalesce("node", "parent"))
+    own = [F.max(F.when(F.col("is_object"), F.col(c))).alias(c) for c in ("parent", "label", "ordinal")]
+    pivot = [F.max(F.when(~F.col("is_object") & (F.col("label") == f), F.col("scalar"))).alias(f) for f in fields]
+    return rows.groupBy("rec", F.col("at").alias("node")).agg(*own, *pivot).filter("label is not null")
 
 
 #: Labels of the artifacts' child lists with the entity, its key, and the parent it hangs on.
