@@ -1,9 +1,10 @@
 """The N highest-scoring members of every group, exactly and in a fixed order, for groups of any size.
 
 A histogram of scores per group (partial counts are combined before the shuffle, so a group costs at most one row per
-bin and task) gives the highest bin above which N rows lie; only rows from that bin on are ranked exactly. The
-thresholds are joined back with a salt, so a group that holds a third of all rows is spread over tasks, and ranking
-starts with a limit inside each task before rows meet.
+bin and task) gives the highest bin above which N rows lie; only rows from that bin on are ranked exactly. Bins follow
+the score's binary exponent and cut each doubling into equal steps, so no range is needed and one extreme score does not
+widen the bins of the others. The thresholds are joined back with a salt, so a group that holds a third of all rows is
+spread over tasks, and ranking starts with a limit inside each task before rows meet.
 
 Defined cases: null and NaN scores and null groups are left out; equal scores go by the tie columns, ascending; groups
 with fewer than N rows give all; rows equal in group, score and ties keep one place each; an empty table gives no rows.
@@ -17,21 +18,25 @@ from pyspark.sql import functions as F
 from graftwork.session import cut
 
 
+def score_bin(score: Column, steps: int) -> Column:
+    """A number that never falls as the score rises: its binary exponent, and which of ``steps`` its fraction is in. Where
+    the logarithm is off by one at a power of two, the fraction makes up for it."""
+    size = F.abs(score)
+    exponent = F.floor(F.log2(size))
+    place = (exponent + 1200) * steps + F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * steps)
+    place = F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit(2400 * steps).cast("long")).otherwise(place)
+    return F.when(score < 0, -place).otherwise(place)
+
+
 def top_n(
-    df: DataFrame, group: list[str], score: str, ties: list[str], n: int, bins: int = 2048, salts: int = 16
+    df: DataFrame, group: list[str], score: str, ties: list[str], n: int, steps: int = 64, salts: int = 16
 ) -> DataFrame:
     """The rows of ``df``, which are written once and so should hold no more columns than needed, with ``rank_no``
     1..n by ``score`` (high first) and ``ties`` (small first) per ``group``."""
     rows = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     for g in group:
         rows = rows.filter(F.col(g).isNotNull())
-    rows = cut(rows)  # the range, the histogram and the ranking each read it
-    low, high = rows.agg(F.min(score).cast("double"), F.max(score).cast("double")).first()
-    if low is None or low == high or high - low == float("inf"):
-        place: Column = F.lit(0)
-    else:  # any bin that never falls as the score rises is safe
-        place = F.floor((F.col(score).cast("double") - low) / ((high - low) / bins)).cast("int")
-    rows = rows.withColumn("_bin", place)
+    rows = cut(rows.withColumn("_bin", score_bin(F.col(score).cast("double"), steps)))  # read by histogram and ranking
     above = Window.partitionBy(*group).orderBy(F.desc("_bin"))
     counts = rows.groupBy(*group, "_bin").agg(F.count("*").alias("_n"))
     thresholds = (

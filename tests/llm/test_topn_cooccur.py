@@ -4,18 +4,34 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from graftwork.llm.cooccur import lifted_pairs
-from graftwork.llm.topn import top_n
+from graftwork.llm.topn import score_bin, top_n
 
 
-@pytest.mark.parametrize("bins", [1, 7, 2048])
-def test_top_n_equals_brute_force(spark, bins):
-    rng = random.Random(bins)
+def test_bins_never_fall(spark):
+    rng = random.Random(4)
+    values = [s * m * 2.0**e for s in (1, -1) for m in (1.0, 1 - 2**-53, 1 + 2**-52, 1.5) for e in range(-1070, 1022, 7)]
+    values += [0.0, math.inf, -math.inf, 5e-324, 1.7976931348623157e308, 0.1, 1e300] + [rng.random() for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in sorted(values)], "v double").coalesce(1)
+    for steps in (1, 7, 64):
+        got = [r.b for r in df.select("v", score_bin(F.col("v"), steps).alias("b")).orderBy("v").collect()]
+        assert got == sorted(got)
+
+
+def test_one_extreme_score_does_not_widen_the_bins(spark):
+    df = spark.createDataFrame([("g", 1 + k / 1000, k) for k in range(1000)] + [("g", 1e300, -1)], "g string, s double, i long")
+    assert df.select(F.count_distinct(score_bin(F.col("s"), 64)).alias("n")).first().n >= 60
+
+
+@pytest.mark.parametrize("steps", [1, 7, 64])
+def test_top_n_equals_brute_force(spark, steps):
+    rng = random.Random(steps)
     rows = [(rng.choice(["hot", "hot", "a", "b", None]), rng.choice([None, math.nan, 1.0, 2.0, rng.random()]), i) for i in range(3_000)]
     rows.append(("only", 5.0, 1))
     df = spark.createDataFrame(rows, "g string, s double, i long")
-    got = {(r.g, r.rank_no): (r.s, r.i) for r in top_n(df, ["g"], "s", ["i"], 5, bins=bins).collect()}
+    got = {(r.g, r.rank_no): (r.s, r.i) for r in top_n(df, ["g"], "s", ["i"], 5, steps=steps).collect()}
     want = {}
     for g in ("hot", "a", "b", "only"):
         own = sorted((-s, i) for x, s, i in rows if x == g and s is not None and not math.isnan(s))
