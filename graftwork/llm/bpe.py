@@ -27,10 +27,10 @@ from graftwork.session import cut, spread
 
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-FREQUENT, SHORT = 20_000, 64
+FREQUENT, SHORT = 4096, 64
 #: Lists of the rank literal (a prime), and what a pair's first token is multiplied by in its key, beyond all ranks.
 _LISTS, _FIRST = 32_749, 1 << 20
-_MAPS = 1 << 13
+_MAPS = 1 << 11
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
