@@ -28,8 +28,9 @@ from graftwork.session import cut
 
 #: Probability that a pair at the threshold shares no bucket.
 MISSED = 1e-5
-#: Rows of a band by the number of distinct texts up to which they serve.
-ROWS = ((2_000_000, 3), (100_000_000, 4), (5_000_000_000, 5))
+#: Rows of a band. A bucket's members that are there by chance grow with the texts and fall with the power of their
+#: similarity that the rows are: more rows serve collections of many millions, at the price of more bands.
+ROWS = 3
 #: A bucket is hot from this share of all bucket rows and this many members on; counters that find such buckets.
 HOT_SHARE, HOT_MEMBERS, COUNTERS = 1 / 5000, 100_000, 1 << 17
 #: Neighbours of a class up to which they are paired by a join, and about how many of a hub's make a tile.
@@ -116,12 +117,10 @@ def _signed(batches: Iterator[pd.DataFrame], width: int, bands: int, rows: int)
             )
 
 
-def band_plan(threshold: float, texts: int) -> tuple[int, int]:
-    """(bands, rows): the more texts, the more rows a band has, so that a bucket's chance members stay few beside the
-    alike ones and its centre is one of these; and as many bands as ``MISSED`` asks for. At 0.6: 48 bands of 3 rows."""
-    rows = next((r for most, r in ROWS if texts <= most), 6)
+def bands_for(threshold: float, rows: int) -> int:
+    """As many bands as ``MISSED`` asks for: 48 of 3 rows at 0.6, 83 of 4, 143 of 5, 241 of 6."""
     share = threshold**rows
-    return (1 if share >= 1 else math.ceil(math.log(MISSED) / math.log1p(-share))), rows
+    return 1 if share >= 1 else math.ceil(math.log(MISSED) / math.log1p(-share))
 
 
 def _similarity(a: Column, b: Column) -> Column:
@@ -281,13 +280,13 @@ def near_duplicates(
     threshold: float = 0.6,
     width: int = 3,
     bands: int | None = None,
-    rows: int | None = None,
+    rows: int = ROWS,
     few: int = FEW,
     tile: int = TILE,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, members). links: a, b, similarity of every pair of different texts of one group that are at least
-    ``threshold`` alike, a and b being class ids; members: the group, id and class id (cid) of each record. Bands and
-    rows are planned by the number of texts unless both are given.
+    ``threshold`` alike, a and b being class ids; members: the group, id and class id (cid) of each record. Bands follow
+    from the threshold and the rows unless given.
 
     A class id is the MD5 of group and normalized text. Candidates carry its first half as a number; should two classes
     share that, both are checked."""
@@ -295,8 +294,7 @@ def near_duplicates(
     texts = texts.filter((F.length("norm") >= width) & F.col("id").isNotNull())
     texts = texts.withColumn("cid", F.unhex(F.md5(F.concat_ws("\0", F.coalesce("grp", F.lit("")), "norm"))))
     members = cut(texts.select("grp", "id", "cid").distinct())
-    if bands is None or rows is None:
-        bands, rows = band_plan(threshold, members.agg(F.approx_count_distinct("cid")).first()[0])
+    bands = bands or bands_for(threshold, rows)
     distinct = texts.select("grp", "cid", "norm").distinct()
     signed = distinct.mapInPandas(
         lambda it: _signed(it, width, bands, rows), "grp string, cid binary, runs array<bigint>, bands array<bigint>"
