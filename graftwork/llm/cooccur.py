@@ -2,12 +2,13 @@
 
 Heavy-light decomposition. At most ``heavy`` items, the most frequent ones, get a column of a bit matrix; each task packs
 its baskets into it and counts pairs of heavy items by popcounts of and-ed columns. Pairs of rare items are counted by
-hash, each basket giving its own pairs; for mixed pairs the rare item's baskets are probed against their short lists of
-heavy items. Items that cannot reach the wanted support or lift are dropped first, which loses no pair: a pair occurs at
+hash, each basket giving its own pairs. For mixed pairs a rare item's list of baskets is probed against the bit rows of
+those baskets, a batch of baskets at a time; the counts of batches are summed. Items that cannot reach the wanted support or lift are dropped first, which loses no pair: a pair occurs at
 most as often as its rarer item, so lift >= l needs n(x) <= N / l for both.
 
 Defined cases: null and void ids are no items; an id counts once a basket; baskets without items do not count; an empty
-table gives no pairs. Broadcast: the heavy items only, at most ``heavy`` rows.
+table gives no pairs. Broadcast: the heavy items only, at most ``heavy`` rows. No other item holds more than 1 / ``heavy``
+of all memberships, so the joins on rare items need no salt.
 """
 
 from __future__ import annotations
@@ -48,6 +49,25 @@ def _popcounts(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataF
     yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "n_ab": total[i, j]})
 
 
+def _probed(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """(x, i, n) of rare item x and heavy item i, a batch of baskets at a time."""
+    for pdf in batches:
+        heavy = np.zeros((len(pdf), width), bool)
+        heavy[np.repeat(np.arange(len(pdf)), [len(h) for h in pdf.hs]), np.concatenate([*pdf.hs, np.zeros(0, np.int64)]).astype(int)] = True
+        names, code = np.unique(np.concatenate([*pdf.ls, np.zeros(0, object)]).astype(str), return_inverse=True)
+        row = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf.ls])
+        order = np.argsort(code, kind="stable")  # the lists of baskets, one after the other
+        begins = np.searchsorted(code[order], np.arange(len(names)))
+        if not len(names):
+            continue
+        for at in range(0, len(names), 4096):  # so many lists at a time that their bit rows stay small
+            upto = begins[at + 4096] if at + 4096 < len(names) else len(order)
+            own = begins[at : at + 4096]
+            counts = np.add.reduceat(heavy[row[order[own[0] : upto]]], own - own[0], axis=0, dtype=np.int64)
+            x, i = np.nonzero(counts)
+            yield pd.DataFrame({"x_a": names[at + x], "i": i.astype(np.int32), "n_ab": counts[x, i]})
+
+
 def lifted_pairs(
     baskets: DataFrame, key: str, items: str, min_count: int = 5, min_lift: float | None = None, heavy: int = HEAVY
 ) -> DataFrame:
@@ -106,10 +126,10 @@ def lifted_pairs(
 
     hl = (
         split.filter((F.size("ls") > 0) & (F.size("hs") > 0))
-        .select(F.explode("ls").alias("x_a"), "hs")
-        .select("x_a", F.explode("hs").alias("i"))
+        .select("ls", "hs")
+        .mapInPandas(lambda it: _probed(it, width), "x_a string, i int, n_ab long")
         .groupBy("x_a", "i")
-        .agg(F.count("*").alias("n_ab"))
+        .agg(F.sum("n_ab").alias("n_ab"))
         .filter(F.col("n_ab") >= min_count)
         .join(n_of("a"), "x_a")
         .join(side("i", "b"), "i")
