@@ -12,22 +12,42 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HEADING = re.compile(r"(#{1,6})[ ]+(\S.*?)[ ]*$")
-SECTIONS = "struct<preamble:string,sections:array<struct<level:int,heading:string,body:string>>>"
+_HEADING = re.compile(r"(#{1,6}) +(\S.*?) *$", re.ASCII)
+SECTIONS = "struct<front:array<struct<key:string,value:string>>,preamble:string,sections:array<struct<level:int,heading:string,body:string>>>"
 
 
 def sections_of(text: str) -> dict:
-    """The lines before the first heading, and each heading with its level and the lines below it."""
-    out: dict = {"preamble": [], "sections": []}
-    for line in text.replace("\r\n", "\n").split("\n"):
-        m = _HEADING.match(line)
+    """The fields between two leading lines of dashes, the lines before the first heading, and each heading with its level
+    and the lines below it, with their ends. Without a second line of dashes there are no fields."""
+    lines = text.replace("\r\n", "\n").split("\n")
+    lines = [x + "\n" for x in lines[:-1]] + lines[-1:] * (lines[-1] != "")
+    front: list[dict] = []
+    if lines and lines[0].strip() == "---":
+        close = next((i for i, x in enumerate(lines[1:], 1) if x.strip() == "---"), 0)
+        pairs = [x.partition(":") for x in lines[1:close]]
+        front = [{"key": k.strip(), "value": v.strip()} for k, colon, v in pairs if colon]
+        lines = lines[close + 1 :] if close else lines
+    out: dict = {"front": front, "preamble": "", "sections": []}
+    bodies: list[list[str]] = [[]]
+    for line in lines:
+        m = _HEADING.match(line.rstrip("\n"))
         if m:
-            out["sections"].append({"level": len(m[1]), "heading": m[2], "body": []})
+            out["sections"].append({"level": len(m[1]), "heading": m[2]})
+            bodies.append([])
         else:
-            (out["sections"][-1]["body"] if out["sections"] else out["preamble"]).append(line)
-    out["preamble"] = "\n".join(out["preamble"])
-    for s in out["sections"]:
-        s["body"] = "\n".join(s["body"])
+            bodies[-1].append(line)
+    out["preamble"] = "".join(bodies[0])
+    for s, body in zip(out["sections"], bodies[1:]):
+        s["body"] = "".join(body)
+    return out
+
+
+def rendered(doc: dict) -> str:
+    """The text of a document; what ``sections_of`` reads from it is the document again."""
+    fields = "".join(f"{f['key']}: {f['value']}\n" for f in doc["front"])
+    out = (f"---\n{fields}---\n" if fields else "") + doc["preamble"]
+    for s in doc["sections"]:
+        out += "\n" * (out != "" and not out.endswith("\n")) + "#" * s["level"] + f" {s['heading']}\n{s['body']}"
     return out
 
 
@@ -37,16 +57,25 @@ def parse_sections(text: Column) -> Column:
     @F.pandas_udf(SECTIONS)
     def parse(texts: pd.Series) -> pd.DataFrame:
         got = [sections_of(t) if t is not None else None for t in texts]
-        return pd.DataFrame(
-            {
-                "preamble": [g and g["preamble"] for g in got],
-                "sections": [[tuple(s.values()) for s in g["sections"]] if g else None for g in got],
-            }
-        )
+        rows = lambda key: [[tuple(s.values()) for s in g[key]] if g else None for g in got]
+        return pd.DataFrame({"front": rows("front"), "preamble": [g and g["preamble"] for g in got], "sections": rows("sections")})
 
     return F.when(text.isNotNull(), parse(text))
 
 
+def render_sections(doc: Column) -> Column:
+    """The text of a ``SECTIONS`` structure, in expressions; null for null."""
+    fields = F.array_join(F.transform(doc["front"], lambda f: F.concat(f.key, F.lit(": "), f.value, F.lit("\n"))), "")
+    front = F.when(F.size(doc["front"]) > 0, F.concat(F.lit("---\n"), fields, F.lit("---\n"))).otherwise("")
+    start = F.concat(front, doc["preamble"])
+
+    def add(out: Column, s: Column) -> Column:
+        gap = F.when((out != "") & ~out.endswith("\n"), "\n").otherwise("")
+        return F.concat(out, gap, F.repeat(F.lit("#"), s.level), F.lit(" "), s.heading, F.lit("\n"), s.body)
+
+    return F.aggregate(doc["sections"], start, add)
+
+
 class EditError(ValueError):
     """An edit that does not fit the document."""
 

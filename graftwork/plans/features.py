@@ -437,3 +437,63 @@ def cohort_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.concat(F.lit("user="), density_band(F.col("leaves")))
     keys = F.array(F.concat_ws("|", "cat_key", "count_key", user), "wide_key", "cat_key", "count_key")
     return k.select("request_id", F.posexplode(keys).alias("at", "key")).select("request_id", "key", (F.col("at") + 1).cast("long").alias("level"))
+
+
+#: The counts and lists of a snapshot that the first node gets; context and products are withheld.
+_PROFILE_KEYS = ["age", "gender", "vip_level", "register_days", "click_cnt_30d", "cart_cnt_30d", "order_cnt_30d", "order_cnt_90d", "purchase_price_avg_30d"]
+_BEHAVIOUR_KEYS = [
+    "prefer_cat3_topK", "prefer_brand_topK", "seq_click_cat3_48h", "order_goods_id_list_topN", "order_brand_id_list_topN",
+    "addcart_cat3_id_list_topN", "collect_goods_id_list_topN",
+]
+_PATHS = [("profile", k) for k in _PROFILE_KEYS] + [("behavior", k) for k in _BEHAVIOUR_KEYS]
+
+
+@query(
+    """with r as (select * from (select record_id, request_id, payload, row_number() over (partition by request_id order by attempt desc, captured_at desc, record_id desc) as rn
+      from (select distinct record_id, request_id, node_id, attempt, captured_at, payload from artifact_log) where node_id = 'scenario' and json_valid(payload)) where rn = 1),
+    u as (select record_id, request_id, json_extract_string(payload, '$.scenario_id') as scenario_id, json_extract_string(payload, '$.user_state') as us from r),
+    v as (select record_id, request_id, scenario_id, case when json_valid(us) then us end as us from u),
+    f as (select record_id, request_id, scenario_id, unnest(["""
+    + ", ".join(f"{{'part': '{g}', 'key': '{k}', 'value': json_extract_string(us, '$.{g}.{k}')}}" for g, k in _PATHS)
+    + "], recursive := true) from v) select record_id, request_id, scenario_id, part, key, value from f where coalesce(value, '') <> ''"
+)
+def user_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PF7, PF32: what the first node gets of each request's last readable scenario: counts and lists of the snapshot, a
+    row each; a snapshot may be an object or its text. Request context and products are withheld."""
+    columns = ["record_id", "request_id", "node_id", "attempt", "captured_at", "payload"]
+    a = table(spark, sf_dir, "artifact_log").select(*columns).distinct().filter("node_id = 'scenario'")
+    a = a.filter(F.try_parse_json("payload").isNotNull())
+    best = F.max_by(F.struct("record_id", "payload"), F.struct("attempt", "captured_at", "record_id"))
+    last = a.groupBy("request_id").agg(best.alias("b")).select("request_id", "b.record_id", "b.payload")
+    us = F.get_json_object("payload", "$.user_state")
+    rows = last.select("record_id", "request_id", F.get_json_object("payload", "$.scenario_id").alias("scenario_id"), us.alias("us"))
+    cells = F.array(
+        *[F.struct(F.lit(g).alias("part"), F.lit(k).alias("key"), F.get_json_object("us", f"$.{g}.{k}").alias("value")) for g, k in _PATHS]
+    )
+    return rows.select("record_id", "request_id", "scenario_id", F.inline(cells)).filter("value <> ''")
+
+
+@query(
+    EXPOSURES
+    + _WINNERS
+    + f""", c as (select trim(request_id, {_BLANKS}) as request, source_user_factor_id as factor, count(*) as n from (select distinct on (candidate_id) * from candidates) where request_id is not null and not {VOID.format('source_user_factor_id')} group by 1, 2),
+    pr as (select request, count(*) as n_products, string_agg(product, ',' order by pos, exposure_id) as products from w group by 1),
+    f as (select request, count(*) as n_factors, string_agg(factor, ',' order by factor) as factors, cast(sum(n) as bigint) as n_candidates from c group by 1)
+    select request, n_products, products, coalesce(n_factors, 0) as n_factors, coalesce(factors, '') as factors, coalesce(n_candidates, 0) as n_candidates from pr left join f using (request)"""
+)
+def copy_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PF8, PF11: what the second node gets: a request's products in order and the factors found for it, by their ids
+    alone. As long as the request's own rows, by definition."""
+    w = products_of_requests(spark, sf_dir)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "exposure_id", "product"))), lambda x: x["product"]), ",")
+    p = w.groupBy("request").agg(F.count("*").alias("n_products"), listed.alias("products"))
+    c = table(spark, sf_dir, "candidates").select("candidate_id", "request_id", "source_user_factor_id").distinct()
+    c = c.filter(F.col("request_id").isNotNull() & ~is_void(F.col("source_user_factor_id")))
+    per = c.groupBy(strip(F.col("request_id")).alias("request"), F.col("source_user_factor_id").alias("factor")).agg(F.count("*").alias("n"))
+    f = per.groupBy("request").agg(
+        F.count("*").alias("n_factors"), F.array_join(F.array_sort(F.collect_list("factor")), ",").alias("factors"), F.sum("n").alias("n_candidates")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return p.join(f, "request", "left").select(
+        "request", "n_products", "products", zero("n_factors"), F.coalesce("factors", F.lit("")).alias("factors"), zero("n_candidates")
+    )

@@ -397,3 +397,101 @@ def rolling_pressure(spark: SparkSession, sf_dir: str, budget: float = 80.0) ->
     share = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean / budget)), 8)
     pressure = F.when((n < 5) | mean.isNull(), F.lit(0.0)).otherwise(share)
     return table(spark, sf_dir, "events").select("event_id", pressure.alias("pressure"))
+
+
+# Surfaces, failures and reports
+
+
+@query(
+    R
+    + """, n as (select request_id, list(distinct node_id) as nodes from r where request_id is not null and node_id is not null group by 1),
+    t as (select request_id, list(distinct tag) as tags from (select request_id, unnest(failure_tags) as tag from (select distinct on (judgment_id) * from judgments)) where tag is not null group by 1),
+    u as (select n.request_id, list_sort(list_distinct(list_concat(nodes, coalesce(tags, [])))) as surfaces, tags from n left join t using (request_id))
+    select request_id, array_to_string(surfaces, ',') as surfaces, tags is null or list_has_any(tags, ['publishable_copy', 'product_value_visible']) as target_matches from u"""
+)
+def applicable_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PF16, PF18: the sorted union of a request's nodes and of the tags of its judgments, and whether the tags match the
+    targets: no tags match all."""
+    n = records(spark, sf_dir).filter("request_id is not null and node_id is not null").groupBy("request_id").agg(F.collect_set("node_id").alias("nodes"))
+    tags = judgments(spark, sf_dir, "request_id", "failure_tags").select("request_id", F.explode("failure_tags").alias("tag"))
+    t = tags.filter("tag is not null").groupBy("request_id").agg(F.collect_set("tag").alias("tags"))  # as many as there are kinds
+    u = n.join(t, "request_id", "left")
+    union = F.array_sort(F.array_distinct(F.concat("nodes", F.coalesce("tags", F.array().cast("array<string>")))))
+    targets = F.array(F.lit("publishable_copy"), F.lit("product_value_visible"))
+    return u.select(
+        "request_id", F.array_join(union, ",").alias("surfaces"), (F.col("tags").isNull() | F.arrays_overlap("tags", targets)).alias("target_matches")
+    )
+
+
+@query(
+    R
+    + rf"""select record_id, request_id, node_id, {_KIND} as kind, case when payload is null then 'absent' when trim(payload, {_BLANKS}) = '' then 'blank'
+      when regexp_matches(trim(payload, {_BLANKS}), '^[\[{{"]') then 'truncated' else 'no JSON' end as failure_class, coalesce(length(payload), 0) as size from r where not ok"""
+)
+def failure_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PF28, PF22: the records that failed, as a report shows them: ids, kind, class of failure and size."""
+    text = strip(F.col("payload"))
+    failure = F.when(F.col("payload").isNull(), "absent").when(text == "", "blank").when(text.rlike(r'^[\[{"]'), "truncated").otherwise("no JSON")
+    r = records(spark, sf_dir, "payload").filter("not ok")
+    size = F.coalesce(F.length("payload"), F.lit(0)).cast("long")
+    return r.select("record_id", "request_id", "node_id", _kind().alias("kind"), failure.alias("failure_class"), size.alias("size"))
+
+
+@query(
+    C
+    + """, r as (select request_id, count(distinct source_user_factor_id) as f, count(*) as n, (count(text) = count(*))::int as complete from c group by 1),
+    o as (select user_id, count(*) as trials from events where value is not null group by 1)
+    select 'median_factors' as metric, cast(median(f) as double) as value from r union all select 'median_candidates', cast(median(n) as double) from r
+    union all select 'completion_rate', round(coalesce(avg(complete) filter (f < 3), 1.0), 6) from r union all select 'angles', cast(count(distinct commercial_angle) as double) from c
+    union all select 'belief_updates', cast(count(*) as double) from customer join o on c_custkey = user_id"""
+)
+def behaviour_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG31, AG8, AG10-AG12: the parts of the behaviour report, a row each."""
+    c = candidates(spark, sf_dir, "request_id", "source_user_factor_id", "text", "commercial_angle")
+    per = c.groupBy("request_id").agg(
+        F.count_distinct("source_user_factor_id").alias("f"), F.count("*").alias("n"), (F.count("text") == F.count("*")).cast("int").alias("complete")
+    )
+    rate = F.round(F.coalesce(F.avg(F.when(F.col("f") < 3, F.col("complete"))), F.lit(1.0)), 6)
+    metrics = {"median_factors": F.median("f"), "median_candidates": F.median("n"), "completion_rate": rate}
+    one = per.agg(*[v.cast("double").alias(k) for k, v in metrics.items()])
+    rows = one.unpivot([], list(metrics), "metric", "value")
+    tried = table(spark, sf_dir, "events").filter("value is not null").select(F.col("user_id").alias("c_custkey")).distinct()
+    updated = table(spark, sf_dir, "customer").join(tried, "c_custkey", "left_semi")
+    count = lambda name, df, value: df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
+    return rows.unionByName(count("angles", c, F.count_distinct("commercial_angle"))).unionByName(count("belief_updates", updated, F.count("*")))
+
+
+def _json_text(c: Column) -> Column:
+    """A text as a JSON string, null as null."""
+    return F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1), F.lit("null"))
+
+
+_ID_FIELDS = {"angle": "commercial_angle", "binding": "product_binding", "factor": "source_user_factor_id", "text": "text"}
+
+
+@query(
+    C
+    + "select candidate_id, 'D_' || left(sha256('{' || "
+    + " || ', ' || ".join(f"'\"{k}\": ' || coalesce(cast(to_json({v}) as varchar), 'null')" for k, v in _ID_FIELDS.items())
+    + " || '}'), 12) as content_id from c"
+)
+def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX10: ids made of four fields: a hash of their JSON, keys in order, with a space after each comma and colon."""
+    c = candidates(spark, sf_dir, *_ID_FIELDS.values())
+    cells = []
+    for k, v in _ID_FIELDS.items():
+        cells += [F.lit(f'"{k}": '), F.when(F.col(v).isNull(), "null").otherwise(_json_text(F.col(v))), F.lit(", ")]
+    text = F.concat(F.lit("{"), *cells[:-1], F.lit("}"))
+    return c.select("candidate_id", F.concat(F.lit("D_"), F.left(F.sha2(text, 256), F.lit(12))).alias("content_id"))
+
+
+@query(
+    "select doc_id, cast(case when text is null then 0 else len(list_distinct(string_split(lower(text), ''))) end as integer) as characters, md5(coalesce(text, '')) as key from documents where text is null or text <> ''"
+)
+def computed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RL4: a costly result computed once per distinct content and joined back by its key; null has a key of its own."""
+    d = table(spark, sf_dir, "documents").filter("text is null or text <> ''").select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
+    distinct = d.groupBy("key").agg(F.first("text").alias("text"))
+    result = distinct.select("key", F.coalesce(F.size(F.array_distinct(F.split(F.lower("text"), ""))), F.lit(0)).alias("n"))
+    joined = d.select("doc_id", "key").join(result, "key")
+    return joined.select("doc_id", F.greatest("n", F.lit(0)).alias("characters"), "key")

@@ -80,7 +80,7 @@ def first_n_requests(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFram
     select request_id, n_rows, request_id in (select request_id from judgments) as completed from r"""
 )
 def pending_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC3, JN11, JN12: requests with their rows, and whether they are done, by a semi and an anti join."""
+    """JN11, JN12: requests with their rows, and whether they are done, by a semi and an anti join."""
     e = exposures(spark, sf_dir, "request_id").filter("request_id is not null")
     per = e.groupBy("request_id").agg(F.count("*").alias("n_rows"))
     done = table(spark, sf_dir, "judgments").select("request_id").distinct()

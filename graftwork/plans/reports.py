@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graftwork.functions.documents import apply_edits, parse_sections
+from graftwork.functions.documents import apply_edits, parse_sections, render_sections
 from graftwork.operators.ordering import once
 from graftwork.plans.list_group import EXPOSURES, exposures
 from graftwork.plans.review import C, CJ, EDIT, J, candidates, documents, judgments
@@ -187,3 +187,14 @@ def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.concat(F.lit("["), F.array_join("edits", ","), F.lit("]"))
     out = rows.select("doc_id", F.size("doc.sections").alias("sections"), F.size("edits").alias("edits"), apply_edits(as_json, listed).alias("r"))
     return out.select("doc_id", "sections", "edits", F.sha2("r.result", 256).alias("result"), "r.error")
+
+
+@query(
+    r"""with d as (select doc_id, replace(text, chr(13) || chr(10), chr(10)) as t from documents where text is not null),
+    r as (select doc_id, regexp_replace(t, '(?m)^(#{1,6}) +(\S(?:.*[^ \n])?) *$', '\1 \2', 'g') as r, regexp_matches(t, '(?:^|\n)#{1,6} +\S[^\n]*$') as ends from d)
+    select doc_id, md5(case when ends then r || chr(10) else r end) as rendered, cast(len(regexp_extract_all(r, '(?m)^#{1,6} \S.*$')) as integer) as sections from r"""
+)
+def rendered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX13: texts read as documents and rendered back: the same text but for the white space of headings."""
+    d = documents(spark, sf_dir).filter("text is not null").select("doc_id", parse_sections(F.col("text")).alias("doc"))
+    return d.select("doc_id", F.md5(render_sections(F.col("doc"))).alias("rendered"), F.size("doc.sections").alias("sections"))

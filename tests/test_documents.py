@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graftwork.functions import numeric
-from graftwork.functions.documents import EditError, apply_edits, edited, parse_sections, sections_of
+from graftwork.functions.documents import EditError, apply_edits, edited, parse_sections, render_sections, rendered, sections_of
 
 DOC = {"title": "t", "sections": [{"heading": "A", "body": "1"}, {"heading": "B/x~", "body": "2"}, {"heading": "C", "body": "3"}]}
 
@@ -79,3 +79,13 @@ def test_rounding_and_tails(spark):
     tails = [r.x for r in b.select("i", numeric.beta_above_normal(F.col("a"), F.col("b")).alias("x")).orderBy("i").collect()]
     z = (0.5 - 3000.5 / 5901) / math.sqrt(3000.5 * 2900.5 / (5901**2 * 5902))
     assert tails == [pytest.approx(0.5 * math.erfc(z / math.sqrt(2))), pytest.approx(0.5)]
+
+
+def test_rendering_is_the_inverse_of_reading(spark):
+    texts = ["---\na: 1\nb:  x: y \nno field\n---\nlead\n# A\nbody\n\n##  B  \n", "no heading", "# H", "\r\n# H\r\nx", "", "---\nopen", "#no\n ## no"]
+    want = ["---\na: 1\nb: x: y\n---\nlead\n# A\nbody\n\n## B\n", "no heading", "# H\n", "\n# H\nx", "", "---\nopen", "#no\n ## no"]
+    assert [rendered(sections_of(t)) for t in texts] == want
+    assert [rendered(sections_of(t)) for t in want] == want
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "i int, t string")
+    got = df.select("i", render_sections(parse_sections(F.col("t"))).alias("r")).orderBy("i").collect()
+    assert [r.r for r in got] == [*want, None]

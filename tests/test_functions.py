@@ -60,3 +60,18 @@ def test_text(spark):
     assert one(spark, ["a b", "", None], "string", lambda c: text.overlap(c, F.lit("B　C"))) == [1 / 3, 0.0, 0.0]
     assert one(spark, [59, 3600, 3599], "long", text.elapsed) == ["00:59", "01:00:00", "59:59"]
     assert one(spark, ["A Todo", "x", None], "string", lambda c: text.has_any(c, ["todo"])) == [True, False, False]
+
+
+def test_plain_lists_and_categories(spark):
+    got = one(spark, ["a(3), b ,,nan, c(x)(y)", "", None, "　d　"], "string", predicates.list_values)
+    assert got == [["a", "b", "c"], [], None, ["d"]]
+    of = lambda c: text.canonical_category(c, ["香水瓶"], {"淡香水": "香水"}, {"枕套": "(家用|车用)枕套"}, "护肩")
+    names = ["香水瓶", " 淡 香水", "车用枕套", "车用枕套盒", "护肩/护肘", "护肩套", None]
+    assert one(spark, names, "string", of) == [None, "香水", "枕套", None, "护肩", None, None]
+
+
+def test_beta_tail_of_large_and_missing_counts(spark):
+    pairs = [(10**9, 10**9), (10**9, 1), (1, 10**9), (None, 3), (0.5, 0.5), (2000, 1)]
+    df = spark.createDataFrame([(i, *map(lambda v: v if v is None else float(v), p)) for i, p in enumerate(pairs)], "i int, a double, b double")
+    got = [r.p for r in df.select("i", numeric.beta_above(F.col("a"), F.col("b")).alias("p")).orderBy("i").collect()]
+    assert got[0] == pytest.approx(0.5) and got[1] == 1 and got[2] == 0 and got[3] is None and got[4] == pytest.approx(0.5) and got[5] == pytest.approx(1)
