@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,16 +62,32 @@ def _runs(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     if len(points) < width:
         return np.zeros(0, np.int64), np.zeros(0, _U)
     last = len(points) - width + 1
-    code = np.zeros(last, _U)
-    for i in range(width):
-        code = (code << _U(21)) | points[i : i + last]
     inside = owner[:last] == owner[width - 1 :]
-    owner, code = owner[:last][inside], code[inside]
-    order = np.lexsort((code, owner))
-    owner, code = owner[order], code[order]
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])
-    return owner[new], code[new]
+    # Characters as their rank among those that occur, so that owner and run mostly fit one number, which sorts faster.
+    seen = np.zeros(0x110000, bool)
+    seen[points] = True
+    chars = np.flatnonzero(seen).astype(_U)
+    rank = np.cumsum(seen)[points].astype(_U) - _U(1)
+    bits = max(len(chars) - 1, 1).bit_length()
+    run = np.zeros(last, _U)
+    for i in range(width):
+        run = (run << _U(bits)) | rank[i : i + last]
+    owner, run = owner[:last][inside], run[inside]
+    if bits * width + max(len(texts) - 1, 1).bit_length() <= 64:
+        key = np.sort((owner.astype(_U) << _U(bits * width)) | run)
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        owner, run = (key >> _U(bits * width)).astype(np.int64), key & _U((1 << bits * width) - 1)
+    else:
+        order = np.lexsort((run, owner))
+        owner, run = owner[order], run[order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (run[1:] != run[:-1])
+        owner, run = owner[new], run[new]
+    code = np.zeros(len(run), _U)
+    for i in range(width):
+        part = (run >> _U(bits * (width - 1 - i))) & _U((1 << bits) - 1)
+        code = (code << _U(21)) | chars[part.astype(np.int64)]
+    return owner, code
 
 
 def one_permutation(owner: np.ndarray, code: np.ndarray, n: int, bins: int) -> np.ndarray:
@@ -78,42 +95,38 @@ def one_permutation(owner: np.ndarray, code: np.ndarray, n: int, bins: int) -> n
     hash of (bin, attempt) names, the first filled one wins. Every text must have a run."""
     h = _mix(code + _U(0x9E3779B97F4A7C15))
     key = owner * bins + (h % _U(bins)).astype(np.int64)
-    order = np.lexsort((h, key))
-    key, h = key[order], h[order]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    sig = np.zeros(n * bins, _U)
+    sig = np.full(n * bins, np.iinfo(_U).max, _U)
     full = np.zeros(n * bins, bool)
-    sig[key[first]], full[key[first]] = h[first], True
+    np.minimum.at(sig, key, h)
+    full[key] = True
     empty = np.flatnonzero(~full)
+    bin_of, first = empty % bins, empty - empty % bins
     attempt = 0
     while len(empty):
         attempt += 1
-        probe = _mix((empty % bins).astype(_U) * _U(0x9E3779B97F4A7C15) + _U(attempt << 32))
-        at = empty // bins * bins + (probe % _U(bins)).astype(np.int64)
+        probe = _mix(np.arange(bins, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(attempt << 32))
+        at = first + (probe % _U(bins)).astype(np.int64)[bin_of]
         hit = full[at]
         sig[empty[hit]] = sig[at[hit]]
-        empty = empty[~hit]
+        empty, bin_of, first = empty[~hit], bin_of[~hit], first[~hit]
     return sig.reshape(n, bins)
 
 
-def _signed(batches: Iterator[pd.DataFrame], width: int, bands: int, rows: int) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for at in range(0, len(pdf), 2000):
-            part = pdf.iloc[at : at + 2000]
-            owner, code = _runs(list(part.norm), width)
-            sig = one_permutation(owner, code, len(part), bands * rows).reshape(len(part), bands, rows)
-            key = np.broadcast_to(np.arange(bands, dtype=_U) + _U(1), (len(part), bands))
+def _signed(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            n = part.num_rows
+            owner, code = _runs(part.column("norm").to_pylist(), width)
+            sig = one_permutation(owner, code, n, bands * rows).reshape(n, bands, rows)
+            key = np.broadcast_to(np.arange(bands, dtype=_U) + _U(1), (n, bands))
             for i in range(rows):
                 key = _mix(key * _U(0x9E3779B97F4A7C15) + sig[:, :, i])
-            cuts = np.searchsorted(owner, np.arange(1, len(part)))
-            yield pd.DataFrame(
-                {
-                    "grp": list(part.grp),
-                    "cid": list(part.cid),
-                    "runs": np.split(code.astype(np.int64), cuts),
-                    "bands": list(key.astype(np.int64)),
-                }
+            ends = np.searchsorted(owner, np.arange(n + 1))
+            lists = lambda cuts, x: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("grp"), part.column("cid"), lists(ends, code), lists(np.arange(n + 1) * bands, key.reshape(-1))],
+                names=["grp", "cid", "runs", "bands"],
             )
 
 
@@ -296,7 +309,7 @@ def near_duplicates(
     members = cut(texts.select("grp", "id", "cid").distinct())
     bands = bands or bands_for(threshold, rows)
     distinct = texts.select("grp", "cid", "norm").distinct()
-    signed = distinct.mapInPandas(
+    signed = distinct.mapInArrow(
         lambda it: _signed(it, width, bands, rows), "grp string, cid binary, runs array<bigint>, bands array<bigint>"
     )
     number = F.conv(F.substring(F.hex("cid"), 2, 15), 16, 10).cast("long")
