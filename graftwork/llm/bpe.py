@@ -119,7 +119,8 @@ def encoded_word(word: Column, ranks: dict[bytes, int]) -> Column:
     def fold(piece: Column) -> Column:
         start = F.transform(F.split(piece, ""), lambda c: F.get(byte_ids, F.ascii(c)))
         first = F.struct(start.alias("tokens"), F.lit(True).alias("open"))
-        return F.aggregate(F.sequence(F.lit(1), F.length(piece)), first, step, lambda s: s.tokens)
+        merges = F.slice(F.sequence(F.lit(1), F.length(piece)), 2, F.length(piece))  # one less than bytes, at most
+        return F.aggregate(merges, first, step, lambda s: s.tokens)
 
     return F.flatten(F.transform(pieces, fold)).cast("array<int>")
 
