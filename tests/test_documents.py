@@ -13,9 +13,10 @@ DOC = {"title": "t", "sections": [{"heading": "A", "body": "1"}, {"heading": "B/
 def test_sections():
     got = sections_of("intro\r\n# One \nbody\n\n####### no\n## Two\n")
     assert got == {
-        "preamble": "intro",
+        "front": [],
+        "preamble": "intro\n",
         "sections": [
-            {"level": 1, "heading": "One", "body": "body\n\n####### no"},
+            {"level": 1, "heading": "One", "body": "body\n\n####### no\n"},
             {"level": 2, "heading": "Two", "body": ""},
         ],
     }
